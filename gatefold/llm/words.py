@@ -12,6 +12,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+#: 0 white space and controls, 1 signs, 2 letters and digits.
+_KIND = np.where(_IS_WORD, 2, np.where((np.arange(256) <= 32) | (np.arange(256) == 127), 0, 1)).astype(np.uint8)
 #: Odd multipliers of the hashes.
 _BASE, _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes that are hashed at a time.
@@ -37,16 +39,22 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """``bounds[d]:bounds[d+1]`` are the words of text d; ``starts``, ``ends`` are byte positions in ``low``."""
+    """``bounds[d]:bounds[d+1]`` are the words of text d; ``starts``, ``ends`` are byte positions in ``low``. symbols:
+    letters keep their case, and runs of signs are words too."""
 
-    def __init__(self, texts: list[bytes], hashed: bool = True):
+    def __init__(self, texts: list[bytes], hashed: bool = True, symbols: bool = False):
         buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        self.low = _LOWER[buf]
-        mask = _IS_WORD[buf]
+        self.low = buf if symbols else _LOWER[buf]
+        mask = _KIND[buf] if symbols else _IS_WORD[buf]
         edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
-        if len(mask) and mask[0]:
-            edge = np.concatenate(([0], edge))
-        self.starts, self.ends = edge[::2], edge[1::2]
+        if symbols:
+            edge = np.concatenate(([0], edge, [len(buf)]))
+            real = mask[edge[:-1]] > 0
+            self.starts, self.ends = edge[:-1][real], edge[1:][real]
+        else:
+            if len(mask) and mask[0]:
+                edge = np.concatenate(([0], edge))
+            self.starts, self.ends = edge[::2], edge[1::2]
         at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=at[1:])
         self.text_at = at
