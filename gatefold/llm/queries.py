@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatefold.llm import decontamination, media, packing, quality, sharding, toxicity, urls, warc
+from gatefold.llm import decontamination, linededup, media, minhash, packing, quality, sharding, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduped(_table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -40,11 +44,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keep")
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op4_sharding, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_sharding, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_minhash, op10_media)}
 
 _RULES = "(VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS r(rule, rule_host, rule_path, verdict)"
 

@@ -177,3 +177,17 @@ def scored(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", c
 
     out = rows.mapInArrow(work, T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())]))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
+
+
+def accepted(docs: DataFrame, model, text: str = "text", cut: float = CUT, above: bool = False) -> DataFrame:
+    """The documents that score under ``cut`` (above: at least ``cut``), with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in pieces(batch, "text", 1 << 20):
+                keep = (shared.value.score(texts) >= cut) == above
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep))], ["row"])
+
+    return rows.mapInArrow(work, T.StructType([rows.schema["row"]])).select("row.*")
