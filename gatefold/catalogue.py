@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from gatefold.plans import circuits, streams, tables
+
+QUERIES = {**circuits.QUERIES, **tables.QUERIES, **streams.QUERIES}
+ORACLE_SQL = {**circuits.ORACLE_SQL, **tables.ORACLE_SQL, **streams.ORACLE_SQL}
