@@ -67,5 +67,12 @@ def verdict_text(kind: Column, latency: Column, blocks: Column, box: Column, n_w
         F.when(kind == "pass", F.format_string("PASS latency=%drt blocks=%d bbox=%s", latency, blocks, size))
         .when(kind == "unstable", F.format_string("UNSTABLE period=%dgt", period))
         .when(kind == "malformed", F.concat(F.lit("MALFORMED "), reason))
-        .otherwise(F.concat(F.lit("FAIL "), n_wrong.cast("string"), F.lit(" rows"), F.coalesce(F.concat(F.lit(" constraint="), constraint), F.lit(""))))
+        .otherwise(F.concat(F.lit("FAIL "), n_wrong.cast("string"), F.lit(" row(s)"), F.coalesce(F.concat(F.lit(" + constraint "), constraint), F.lit(""))))
     )
+
+
+def divergence_class(observed: Column, settled: Column, grid: Column) -> Column:
+    """Which known difference a disagreement points at: unobserved, unsettled, a solid block between two wires, torches."""
+    flanked = F.exists(F.sequence(F.lit(LAYER), F.lit(2 * LAYER - 1)), lambda i: (i % SX).between(1, SX - 2) & (F.get(grid, i) == 1) & (F.get(grid, i - 1) == WIRE) & (F.get(grid, i + 1) == WIRE))
+    torch = F.exists(grid, lambda t: t.between(TORCH, REPEATER - 1))
+    return F.when(observed.isNull(), "unclassified").when(~settled, "update-order").when(flanked, "weak-vs-strong-power").when(torch, "torch-burnout").otherwise("unclassified")

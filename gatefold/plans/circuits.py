@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatefold import vocab
 from gatefold.functions import grids, phrases, specs
-from gatefold.operators import checks, circuits, metrics, neighbours
+from gatefold.operators import checks, circuits, loop, metrics, neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -226,3 +226,42 @@ def a_geometry(spark):
 @query("SELECT tbl, array_to_string(list_transform(range(4), lambda m: (tbl >> ((m >> 1 & 1) * 1 + (m & 1) * 4)::INT) & 1), ',') AS kept FROM range(0, 256, 5) t(tbl)")
 def a_restrict(spark):
     return spark.range(0, 256, 5).select(F.col("id").alias("tbl"), F.concat_ws(",", specs.restrict(specs.table_rows(F.col("id"), 3), [0, 2]).cast("array<string>")).alias("kept"))
+
+
+_VERDICTS = [(f"s{g}", i, (g * 7 + i * 3) % 5, ["pass", "fail", "pass", "unstable", "malformed"][(g + i) % 5], 20 + (g * i) % 7, 2 + (g + i) % 3, (g + i) % 3, None) for g in range(6) for i in range(5) if g != 4]
+_SQL_VERDICTS = "(VALUES " + ", ".join(f"('{h}', {i}, {t}, '{k}', {b}, {lat}, {w})" for h, i, t, k, b, lat, w, _ in _VERDICTS) + ") v(spec_hash, cand_idx, tokens, kind, blocks, latency_rt, n_wrong)"
+
+
+def _verdicts(spark) -> DataFrame:
+    return spark.createDataFrame(_VERDICTS, "spec_hash string, cand_idx int, tokens int, kind string, blocks int, latency_rt int, n_wrong int, constraint string")
+
+
+_SQL_ACCEPTED = f"SELECT spec_hash, tokens, cand_idx, blocks, latency_rt, row_number() OVER (PARTITION BY spec_hash ORDER BY blocks, latency_rt, cand_idx)::INT AS place FROM (SELECT * FROM {_SQL_VERDICTS} WHERE kind = 'pass' QUALIFY row_number() OVER (PARTITION BY spec_hash, tokens ORDER BY cand_idx) = 1) QUALIFY place <= 2"
+
+
+@query(_SQL_ACCEPTED)
+def a_accepted(spark):
+    return loop.accepted(_verdicts(spark), 2)
+
+
+@query(f"""
+WITH v AS (SELECT * FROM {_SQL_VERDICTS}), a AS ({_SQL_ACCEPTED}), c AS (SELECT count(*) AS n, count(*) FILTER (WHERE tokens NOT IN (0, 1)) AS novel, avg(blocks) AS b, avg(latency_rt) AS l FROM a),
+d AS (SELECT avg(n) AS n FROM (SELECT count(DISTINCT tokens) AS n FROM v WHERE kind = 'pass' GROUP BY spec_hash))
+SELECT 6::BIGINT AS specs, count(*) AS candidates, round(count(DISTINCT spec_hash) FILTER (WHERE cand_idx = 0 AND kind = 'pass') / 6, 4) AS pass_at_1, round(count(DISTINCT spec_hash) FILTER (WHERE kind = 'pass') / 6, 4) AS pass_at_k, any_value(c.n) AS accepted, round(any_value(b), 2) AS mean_blocks, round(any_value(l), 2) AS mean_latency_rt,
+round(any_value(d.n), 2) AS layouts_per_spec, round(any_value(novel) / any_value(c.n), 4) AS novelty, round(count(*) FILTER (WHERE kind = 'unstable') / count(*), 4) AS unstable_rate, round(count(*) FILTER (WHERE kind = 'malformed') / count(*), 4) AS malformed_rate, round(count(*) FILTER (WHERE kind = 'fail') / count(*), 4) AS fail_rate FROM v, c, d""")
+def a_round_report(spark):
+    return loop.round_report(spark.range(6), _verdicts(spark), spark.createDataFrame([(0,), (1,)], "tokens int"), 2)
+
+
+@query("SELECT * FROM (VALUES ('pass', 'PASS latency=2rt blocks=29 bbox=(16, 1, 7)'), ('fail', 'FAIL 2 row(s) + constraint latency'), ('unstable', 'UNSTABLE period=4gt'), ('malformed', 'MALFORMED unsupported')) v(kind, text)")
+def a_verdict_text(spark):
+    rows = [("pass", 2, 29, (16, 1, 7), 0, None, None, None), ("fail", None, None, None, 2, "latency", None, None), ("unstable", None, None, None, 0, None, 4, None), ("malformed", None, None, None, 0, None, None, "unsupported")]
+    df = spark.createDataFrame(rows, "kind string, latency int, blocks int, box struct<x:int,y:int,z:int>, wrong int, constraint string, period int, reason string")
+    return df.select("kind", checks.verdict_text(*map(F.col, ("kind", "latency", "blocks", "box", "wrong", "constraint", "period", "reason"))).alias("text"))
+
+
+@query("SELECT * FROM (VALUES (0, 'unclassified'), (1, 'update-order'), (2, 'weak-vs-strong-power'), (3, 'torch-burnout'), (4, 'unclassified')) v(fixture, class)")
+def a_divergence_class(spark):
+    rows = spark.createDataFrame([(0, None, True, 0, 0), (1, 1, False, 0, 0), (2, 1, True, 370, 2), (3, 1, True, 370, 3), (4, 1, True, 370, 1)], "fixture int, seen int, settled boolean, i int, t int")
+    cells = grids.with_cells(grids.with_cells(grids.substrate(), F.create_map(F.lit(371), F.lit(1), F.lit(372), F.lit(2))), F.create_map("i", "t"))
+    return rows.withColumn("g", cells).repartition("fixture").select("fixture", checks.divergence_class(F.col("seen"), F.col("settled"), F.col("g")).alias("class"))
