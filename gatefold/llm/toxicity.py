@@ -22,7 +22,7 @@ from gatefold.llm.words import Words, mix, pieces
 MOST_LABELLED, MOST_WORDS = 6_000, 3_000_000
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 EPOCHS, RATE, DECAY, SEED = 120, 0.05, 0.3, 7
-#: Subwords count from so many deviations, and from so many times the usual share or so small a part of it.
+#: Subwords count from so many deviations, and from odds so many times the usual ones or so small a part of them.
 LEAST_ODD, LEAST_RATIO = 8.0, 3.0
 #: A constant factor of the mean, so that weights of usual size can answer to a few words in a hundred.
 GAIN = 50.0
@@ -104,7 +104,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
     total = np.bincount(ids, np.bincount(word, minlength=len(words))[owner], BUCKETS)
     usual = total * (labels[doc].mean())
     odd = np.abs(found - usual) / np.sqrt(usual + 1)
-    ratio = (found + 0.5) / (usual + 0.5)
+    ratio = (found + 0.5) * (total - usual + 0.5) / ((usual + 0.5) * (total - found + 0.5))  # of odds
     clear = (odd > LEAST_ODD) & (np.maximum(ratio, 1 / ratio) > LEAST_RATIO)
     if not clear.any():
         return nothing
