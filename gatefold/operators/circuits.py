@@ -62,3 +62,19 @@ def cycles(history: DataFrame) -> DataFrame:
     first = history.groupBy("sim", "state").agg(F.min("t").alias("since"))
     again = history.join(first, ["sim", "state"]).filter("t > since")
     return again.groupBy("sim").agg(F.min_by(F.struct("t", (F.col("t") - F.col("since")).alias("period")), "t").alias("c")).select("sim", "c.t", "c.period")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(a, b) -> node, the least node it is connected with. Labels spread along edges and jump along labels, so the rounds
+    grow with the logarithm of the longest path; each round is written."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
+        spread = cut(near.union(labels).groupBy("node").agg(F.min("component").alias("component")))
+        jump = spread.select(F.col("node").alias("over"), F.col("component").alias("further"))
+        after = cut(spread.join(jump, F.col("component") == F.col("over")).select("node", F.least("component", "further").alias("component")))
+        moved = after.join(labels.withColumnRenamed("component", "before"), "node").filter("component <> before").limit(1).count()
+        labels = after
+        if not moved:
+            return labels

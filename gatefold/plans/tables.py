@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatefold.functions import phrases
-from gatefold.operators import corpus, metrics, neighbours, ordered
+from gatefold.operators import circuits, corpus, kernels, metrics, neighbours, ordered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -435,3 +435,23 @@ def b_vector_norm(t):
 def b_lookup_component(t):
     nations = t("supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_nationkey").alias("component"))
     return t("customer").join(nations, "c_nationkey").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(F.col("c_custkey").alias("node"), "component")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")
+def b_arrow_kernel(t):
+    return kernels.norms(t("embeddings"), "vec_id", "embedding")
+
+
+@query("SELECT user_id, item, count(*) AS n FROM (SELECT user_id, unnest(list_append(CASE WHEN event_type IN ('purchase', 'click') THEN ['active'] ELSE [] END, event_type)) AS item FROM events) GROUP BY ALL")
+def b_udtf_explode(t):
+    e = t("events").select("user_id", "event_type")
+    return kernels.tagged(e, "event_type", {"purchase": "active", "click": "active"}).groupBy("user_id", "item").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT p_size AS a, p_size + 7 AS b FROM part WHERE p_size % 3 <> 0), n AS (SELECT a AS x FROM e UNION SELECT b FROM e),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(x, y) AS (SELECT x, x FROM n UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y)
+SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
+def b_components(t):
+    edges = t("part").filter("p_size % 3 <> 0").select(F.col("p_size").alias("a"), (F.col("p_size") + 7).alias("b")).distinct()
+    return circuits.connected(edges)
