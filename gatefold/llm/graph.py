@@ -10,33 +10,53 @@ from pyspark.sql import functions as F
 from gatefold.llm import scratch
 
 
-LEADERS = 3
+#: If a round leaves at most so many members of a bucket, all of them are leaders of the next, which is the last.
+FEW = 48
+#: Leaders of a bucket: one in the first round, four times as many in each later one, up to this.
+MOST = 16
 
 
-def links(members: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified pairs (a, b, similarity) of the members (bucket, uid) of buckets, without pairing a bucket out.
+def links(members: DataFrame, verified: Callable[[DataFrame], DataFrame], labels: DataFrame | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Verified pairs (a, b, similarity) of the members (bucket, uid) of buckets, without pairing a bucket out. Stored.
 
-    All members of a bucket are compared with LEADERS of them; leaders, and what matched one, are done. The rest goes on
-    with other leaders, and with the member that was most like a leader so far, until none is left: copies that resemble
-    their original more than each other meet it there."""
-    open_ = members.withColumn("hub", F.lit(None).cast("long"))
-    found = []
-    while True:
-        leads = [F.min_by("uid", F.xxhash64("uid", F.lit(k + LEADERS * len(found)))) for k in range(LEADERS)]
-        leaders = scratch.stored(open_.groupBy("bucket").agg(F.array_compact(F.array_distinct(F.array(*leads, F.max("hub")))).alias("leaders")))
-        tried = scratch.stored(open_.select("bucket", "uid").join(leaders, "bucket").select("bucket", "uid", F.explode("leaders").alias("leader")))
-        pairs = tried.filter("uid <> leader").select(F.greatest("uid", "leader").alias("a"), F.least("uid", "leader").alias("b")).distinct()
+    All members of a bucket are compared with a leader; the leader, and what matched it, are done. The rest goes on with
+    another leader, and with the member that was most like the leader so far, until none is left: copies that resemble
+    their original more than each other meet it there. ``labels`` (node, component) are known classes: members of one class
+    need no comparison with each other. ``finer`` (uid) -> (bucket, uid)
+    gives other buckets to members of those of which the second round leaves much."""
+    rows = members.withColumn("component", F.col("uid")) if labels is None else members.join(labels, F.col("uid") == F.col("node"), "left").select("bucket", "uid", F.coalesce("component", "uid").alias("component"))
+    mixed = scratch.stored(rows.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("b"))
+    open_ = scratch.stored(rows.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "uid", "component").withColumn("hub", F.lit(None).cast("struct<uid: bigint, component: bigint>")).withColumn("n", F.lit(None).cast("long")))
+    found: list[DataFrame] = []
+    while open_.limit(1).count():
+        own = F.struct("uid", "component")
+        chosen = F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("uid", F.lit(MOST * len(found) + k))) for k in range(min(4 ** len(found), MOST))]))
+        few = F.collect_list(F.when(F.col("n") <= FEW, own))  # null, and so left out, in larger buckets
+        leaders = open_.groupBy(F.col("bucket").alias("b")).agg(chosen.alias("chosen"), few.alias("few"), F.max("hub").alias("hub")).select("b", F.when(F.size("few") > 0, F.col("few")).otherwise(F.col("chosen")).alias("leads"), "hub")
+        against = F.array_distinct(F.array_compact(F.concat(F.col("leads"), F.array("h"))))
+        tried = open_.drop("hub", "n").join(leaders.withColumnRenamed("hub", "h"), F.col("bucket") == F.col("b")).select("bucket", "uid", "component", F.exists("leads", lambda x: x["component"] == F.col("component")).alias("led"), F.filter(against, lambda x: x["component"] != F.col("component")).alias("against"))
+        tried = scratch.stored(tried)
+        asked = tried.select("bucket", "uid", "component", F.explode("against").alias("to")).select("bucket", "uid", "component", F.col("to.uid").alias("leader"))
+        pairs = asked.select(F.greatest("uid", "leader").alias("a"), F.least("uid", "leader").alias("b")).distinct()
         good = scratch.stored(verified(pairs))
         found.append(good)
         named = good.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity").union(good.select("b", "a", "similarity"))
-        judged = tried.join(named, (F.col("uid") == F.col("x")) & (F.col("leader") == F.col("y")), "left")
-        state = scratch.stored(judged.groupBy("bucket", "uid").agg(F.max(F.col("similarity").isNotNull() | (F.col("uid") == F.col("leader"))).alias("done"), F.max(F.when(F.col("uid") != F.col("leader"), F.col("similarity"))).alias("best"), F.max(F.col("uid") == F.col("leader")).alias("led")))
-        hubs = state.groupBy("bucket").agg(F.max_by("uid", F.when(~F.col("led"), F.col("best"))).alias("hub"), F.count_if(~F.col("done")).alias("left")).filter("left > 1 OR (left = 1 AND hub IS NOT NULL)")
-        rest = scratch.stored(state.filter("NOT done").select("bucket", "uid").join(scratch.stored(hubs.select("bucket", "hub")), "bucket"))
-        scratch.release(leaders, tried, state)
-        if not rest.limit(1).count():
-            break
-        open_ = rest
+        matched = scratch.stored(asked.join(named, (F.col("uid") == F.col("x")) & (F.col("leader") == F.col("y"))).select(F.col("bucket").alias("mb"), F.col("uid").alias("mu"), "component", "similarity"))
+        hubs = matched.groupBy("mb").agg(F.max_by(F.struct(F.col("mu").alias("uid"), "component"), F.struct("similarity", "mu")).alias("hub"))
+        left = tried.filter((F.size("against") > 0) & ~F.col("led"))
+        left = left.join(matched, (F.col("bucket") == F.col("mb")) & (F.col("uid") == F.col("mu")), "left_anti").select("bucket", "uid", "component")
+        left = scratch.stored(left)
+        sizes = (left.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).join(hubs, F.col("b") == F.col("mb"), "left").filter("hub IS NOT NULL OR least <> most").select("b", "n", "hub"))
+        rest = left.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "hub", "n")
+        if finer is not None and len(found) == 2:
+            large = rest.filter((F.col("n") > FEW) & F.col("hub").isNull())
+            split = finer(large.select("uid")).join(large.select("uid", "component").distinct(), "uid").select("bucket", "uid", "component", F.lit(None).cast("struct<uid: bigint, component: bigint>").alias("hub"), F.lit(None).cast("long").alias("n"))
+            rest = rest.filter((F.col("n") <= FEW) | F.col("hub").isNotNull()).unionByName(split)
+        after = scratch.stored(rest.select("bucket", "uid", "component", "hub", "n"))
+        scratch.release(open_, tried, matched, left)
+        open_ = after
+    if not found:
+        return scratch.stored(members.filter("false").select(F.col("uid").alias("a"), F.col("uid").alias("b"), F.lit(0.0).alias("similarity")))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -64,7 +64,7 @@ def test_decontamination(spark, texts):
             expected.add((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
         assert by == expected
     clean = decontamination.clean(table(spark, texts), bench)
-    assert clean.columns == [c.split()[0] for c in DOCS.split(", ")] and clean.count() == len(texts) - 2
+    assert clean.columns == [c.split()[0] for c in DOCS.split(", ")] and clean.count() == sum(not r.contaminated for r in got) < len(texts)
     assert decontamination.report(table(spark, texts), bench.limit(0)).filter("contaminated").count() == 0
 
 
