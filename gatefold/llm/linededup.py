@@ -1,9 +1,12 @@
-"""Line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence of each connected group.
+"""Line dedup: an exact prefix filter on the words of normalised lines, edit similarity, one occurrence of each connected group.
 
 A line is normalised to its words, lower-cased, digits as 0. Equal normalised lines are one, however many there are; the
-rest works on distinct lines. A SimHash of BITS bits over words and pairs of words is cut into blocks: lines that differ in
-fewer bits than there are blocks share one. Lines of a shared block are compared by edit similarity over words. Of each
-connected group the first occurrence stays, by doc_id, then line number.
+rest works on distinct lines. Two lines of edit similarity s over words share, as multisets, at least s times the words of
+the longer; so in one order of all words (rare ones first) each shares a word with the other among its first (1 - s) n + 1,
+a second one among its first (1 - s) n + 2, and so on. Lines that share such a word are in one bucket. Small buckets are paired out;
+large ones are first compared with a leader, which joins copies of one line, and then split by the next shared word; what
+is still large after DEPTH words is compared with leaders until none is left. Signatures drop pairs that can't be similar.
+Of each connected group the first occurrence stays, by doc_id, then line number.
 """
 
 from __future__ import annotations
@@ -19,44 +22,80 @@ from pyspark.sql import types as T
 
 from gatefold.llm import scratch
 from gatefold.llm.graph import components, links
-from gatefold.llm.words import Words, as_bytes, mix
+from gatefold.llm.words import Words, as_bytes, mix, pieces
 
-#: Lines of fewer words stay; similarity from which lines are one; blocks of 32 bits.
-LEAST_WORDS, SIMILARITY, BLOCKS = 5, 0.8, 6
-BITS = 32 * BLOCKS
+#: Lines of fewer words stay; similarity from which lines are one.
+LEAST_WORDS, SIMILARITY = 5, 0.8
+#: Buckets of at most so many lines are paired out; larger ones are split by up to so many shared words.
+SMALL, DEPTH = 16, 3
+#: Words that are ordered by their count in one document of SAMPLE, at most; the others count as rare. Any order is exact.
+RANKED, SAMPLE = 200_000, 4
 _DIGITS = bytes(48 if 48 <= b < 58 else b for b in range(256))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
-_TURNS = np.arange(BLOCKS // 2, dtype=np.uint64) * _PAIR
-
-
-#: For each byte its eight bits in eight lanes of one byte, so that 64-bit sums count eight bits at once.
-_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
-#: Words whose lanes are summed together: each adds two at most.
-_RUN = 127
-
-
-def simhash(w: Words) -> np.ndarray:
-    """BLOCKS unsigned 32-bit numbers for each text of the table; zeros without words."""
-    n = np.diff(w.bounds)
-    out = np.zeros((len(n), BLOCKS), np.uint32)
-    filled = np.flatnonzero(n)
-    if not len(filled):
-        return out
-    h = w.hashes
-    after = np.zeros_like(h)
-    after[:-1] = mix(h[:-1] * _PAIR + h[1:])
-    last = w.bounds[1:][filled] - 1
-    after[last] = h[last]  # in place of a pair, the last word counts twice
-    runs = -(-n[filled] // _RUN)
-    first = np.cumsum(runs) - runs
-    starts = np.repeat(w.bounds[:-1][filled] - first * _RUN, runs) + np.arange(runs.sum()) * _RUN
-    ones = np.empty((len(filled), BITS), np.int32)
-    for k, turn in enumerate(_TURNS):  # 64 bits at a time
-        lanes = _LANES[mix(h + turn)[:, None].view(np.uint8)] + _LANES[mix(after + turn)[:, None].view(np.uint8)]
-        sums = np.add.reduceat(lanes, starts).view(np.uint8).astype(np.int32)
-        ones[:, 64 * k : 64 * k + 64] = np.add.reduceat(sums, first)
-    out[filled] = np.packbits(ones > n[filled, None], axis=1).view(np.uint32)
-    return out
+
+
+def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Text and 32-bit hash of each word, sorted by text. A word's second occurrence in a text is another word, so that sets stand for multisets."""
+    text = w.text_of(np.arange(len(w)))
+    order = np.lexsort((w.hashes, text))
+    text, h = text[order], w.hashes[order]
+    new = np.concatenate(([True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])))[: len(h)]
+    at = np.arange(len(h))
+    again = at - np.maximum.accumulate(np.where(new, at, 0))
+    return text, (mix(h + again.astype(np.uint64) * _PAIR) >> np.uint64(32)).astype(np.uint32)
+
+
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the RANKED most frequent words of a sample, and their counts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, texts in pieces(batch, "text", 1 << 19):
+                more = tokens(Words([x for t in texts for x in t.translate(_DIGITS).split(b"\n")]))[1]
+                held, at = np.unique(np.concatenate((held, more)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, np.ones(len(more), np.int64))), len(held)).astype(np.int64)
+                if len(held) > 8 * RANKED:
+                    top = np.sort(np.argsort(-counts, kind="stable")[: 4 * RANKED])
+                    held, counts = held[top], counts[top]
+        some = np.flatnonzero(counts > 1)
+        top = some[np.argsort(-counts[some], kind="stable")[:RANKED]]
+        yield pa.RecordBatch.from_arrays([pa.array(held[top].astype(np.int64)), pa.array(counts[top])], ["token", "n"])
+
+    rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(work, "token long, n long")
+    top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED).toArrow()
+    keys, counts = np.asarray(top.column("token")).astype(np.uint32), np.asarray(top.column("n"))
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def prefixes(w: Words, keep: np.ndarray, known: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Of the texts ``keep``, none of them empty: words, length of the prefix, 256 parity bits as bytes, and the first words in the common order."""
+    text, token = tokens(w)
+    mine = np.zeros(len(w.bounds) - 1, bool)
+    mine[keep] = True
+    token, text = token[mine[text]], text[mine[text]]
+    rank = np.zeros(len(token), np.int64)
+    if len(known[0]):
+        at = np.minimum(np.searchsorted(known[0], token), len(known[0]) - 1)
+        rank = np.where(known[0][at] == token, known[1][at], 0)
+    token = token[np.lexsort((token, rank, text))]
+    n = np.diff(w.bounds)[keep]
+    starts = np.cumsum(n) - n
+    bit, lane = np.uint64(1) << (token & np.uint32(63)).astype(np.uint64), token >> np.uint32(6) & np.uint32(3)
+    marks = np.stack([np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), starts) for k in range(4)], 1)
+    most = np.floor((1 - least) * n + 1e-6).astype(np.int64) + 1
+    held = np.minimum(n, most + DEPTH - 1)
+    offsets = np.concatenate(([0], np.cumsum(held)))
+    at = np.repeat(starts - offsets[:-1], held) + np.arange(offsets[-1])
+    return n, most, marks, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token[at].view(np.int32)))
+
+
+def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether lines of n and m words may be similar: an edit changes two parity bits at most."""
+    longer = np.maximum(n, m)
+    edits = np.floor((1 - least) * longer + 1e-6)
+    return (np.abs(n - m) <= edits) & (np.bitwise_count(x ^ y).sum(1) <= 2 * edits)
 
 
 def edit_similarity(a: list, b: list) -> float:
@@ -72,8 +111,9 @@ def edit_similarity(a: list, b: list) -> float:
     return 1 - int(row[-1]) / max(len(x), len(y))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, digest) -> a row for each line of LEAST_WORDS words or more: uid, doc_id, digest, line, key (two halves), blocks, words. Stored."""
+def lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text, digest) -> a row for each line of LEAST_WORDS words or more: uid, doc_id, digest, line, key (two halves), sketch (size, most, marks, prefix), words. Stored."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
@@ -91,7 +131,8 @@ def lines(docs: DataFrame) -> DataFrame:
                     w = Words(rows)
                     keep = np.flatnonzero(np.diff(w.bounds) >= LEAST_WORDS)
                     if len(keep):
-                        blocks = simhash(w)[keep]
+                        count, most, marks, prefix = prefixes(w, keep, shared.value, least)
+                        sketch = pa.StructArray.from_arrays([pa.array(count, pa.int32()), pa.array(most, pa.int32()), pa.array([m.tobytes() for m in marks], pa.binary()), prefix], ["size", "most", "marks", "prefix"])
                         joined, at = w.compact()
                         lo, hi = w.bounds[keep], w.bounds[keep + 1]
                         place = np.arange(len(w), dtype=np.uint64)
@@ -103,11 +144,11 @@ def lines(docs: DataFrame) -> DataFrame:
                             keys.append(mix(sums[hi] - sums[lo]).view(np.int64))
                         words = [joined[a : b - 1] for a, b in zip(at[lo].tolist(), at[hi].tolist(), strict=True)]
                         source = pa.array(np.array(of)[keep])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(keep))), batch.column(0).take(source), batch.column(2).take(source), pa.array(np.array(number)[keep], pa.int32()), *map(pa.array, keys), pa.array(list(blocks.view(np.int32)), pa.list_(pa.int32())), pa.array(words, pa.binary())], ["uid", "doc_id", "digest", "line", "key", "key2", "blocks", "words"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(keep))), batch.column(0).take(source), batch.column(2).take(source), pa.array(np.array(number)[keep], pa.int32()), *map(pa.array, keys), sketch, pa.array(words, pa.binary())], ["uid", "doc_id", "digest", "line", "key", "key2", "sketch", "words"])
                         uid += len(keep)
                     rows, of, number, size = [], [], [], 0
 
-    return scratch.stored(docs.mapInArrow(work, T.StructType([T.StructField("uid", T.LongType()), docs.schema["doc_id"], *T._parse_datatype_string("digest binary, line int, key long, key2 long, blocks array<int>, words binary").fields])))
+    return scratch.stored(docs.mapInArrow(work, T.StructType([T.StructField("uid", T.LongType()), docs.schema["doc_id"], *T._parse_datatype_string("digest binary, line int, key long, key2 long, sketch struct<size: int, most: int, marks: binary, prefix: array<int>>, words binary").fields])))
 
 
 def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
@@ -125,18 +166,96 @@ def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "wa", "wb").mapInArrow(work, "a long, b long, similarity double")
 
 
+def _pairs(members: DataFrame, least: float) -> DataFrame:
+    """(key, uid, component, size, marks) of small buckets -> a, b of those of different components that may be similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                column = batch.column(0).slice(i, 2048)
+                offsets, rows = np.asarray(column.offsets), column.values
+                uid, component, size = (np.asarray(rows.field(k)) for k in range(3))
+                marks = rows.field(3)
+                used = slice(int(offsets[0]), int(offsets[-1]))
+                bits = np.zeros((len(rows), 4), np.uint64)
+                bits[used] = np.frombuffer(b"".join(marks.slice(used.start, used.stop - used.start).to_pylist()), np.uint64).reshape(-1, 4)
+                length = np.diff(offsets)
+                for n in np.unique(length[length > 1]).tolist():
+                    x, y = np.triu_indices(n, 1)
+                    base = offsets[:-1][length == n][:, None]
+                    a, b = (base + x).ravel(), (base + y).ravel()
+                    keep = (component[a] != component[b]) & (uid[a] != uid[b])
+                    a, b = a[keep], b[keep]
+                    keep = alike(size[a], size[b], bits[a], bits[b], least)
+                    a, b = uid[a[keep]], uid[b[keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    return members.groupBy("key").agg(F.collect_list(F.struct("uid", "component", "size", "marks")).alias("rows")).select("rows").mapInArrow(work, "a long, b long")
+
+
+def _likely(pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, n, m, ma, mb) -> a, b of those that may be similar."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 4) for c in batch.columns[4:])
+            keep = pa.array(alike(np.asarray(batch.column(2)), np.asarray(batch.column(3)), x, y, least))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return pairs.select("a", "b", "n", "m", "ma", "mb").mapInArrow(work, "a long, b long")
+
+
+def similar(distinct: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """(uid, sketch) of distinct lines, and the table of ``lines`` -> (a, b): links that connect all lines that a chain of similar pairs connects."""
+    about = distinct.select("uid", "sketch.*")
+    found: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.stored(pairs.distinct())
+        near = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct())
+        words = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "words"))
+        return verified(pairs, words, least)
+
+    entries = about.select("uid", F.posexplode(F.slice("prefix", F.lit(1), F.col("most"))).alias("at", "token")).select(F.col("token").cast("long").alias("key"), "uid", "at")
+    labels: DataFrame | None = None
+    for depth in range(1, DEPTH + 1):
+        own = entries.withColumn("component", F.col("uid")) if labels is None else entries.join(labels, F.col("uid") == F.col("node"), "left").select("key", "uid", "at", F.coalesce("component", "uid").alias("component"))
+        many = scratch.stored(own.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("k", "n"))
+        members = own.join(many, F.col("key") == F.col("k")).select("key", "uid", "at", "component", "n")
+        if depth > 1:
+            members = scratch.stored(members)
+        small = members.filter(F.col("n") <= SMALL).join(about.select("uid", "size", "marks"), "uid")
+        hot = scratch.stored(members.filter(F.col("n") > SMALL).drop("n"))
+        if not hot.limit(1).count():
+            found.append(scratch.stored(verify(_pairs(small, least)).select("a", "b")))
+            break
+        lead = hot.groupBy(F.col("key").alias("k")).agg(F.min_by(F.struct("uid", "component"), F.xxhash64("key", "uid")).alias("lead"))
+        asked = hot.join(lead, F.col("key") == F.col("k")).filter("component <> lead.component").select(F.greatest("uid", "lead.uid").alias("a"), F.least("uid", "lead.uid").alias("b")).distinct()
+        first, second = (about.select(F.col("uid").alias(x), F.col("size").alias(n), F.col("marks").alias(f"m{x}")) for x, n in (("a", "n"), ("b", "m")))
+        found.append(scratch.stored(verify(_pairs(small, least).union(_likely(asked.join(first, "a").join(second, "b"), least))).select("a", "b")))
+        together = found[0]
+        for more in found[1:]:
+            together = together.union(more)
+        labels = components(together)
+        if depth == DEPTH:
+            last = hot.select(F.col("key").alias("bucket"), "uid").distinct()
+            found.append(links(last, lambda pairs: verify(_likely(pairs.join(first, "a").join(second, "b"), least)), labels).select("a", "b"))
+        else:  # the next shared word is among the first most + depth
+            wide = hot.select("key", "uid", "at").join(about.select("uid", "most", "prefix"), "uid")
+            rest = F.slice("prefix", F.col("at") + 2, F.col("most") + depth - 1 - F.col("at"))
+            entries = scratch.stored(wide.select("key", "uid", "at", F.posexplode(rest).alias("more", "token")).select(F.xxhash64("key", "token").alias("key"), "uid", (F.col("at") + 1 + F.col("more")).alias("at")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def removals(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, text, digest) -> own_id, own_digest, gone: the numbers of the lines that go, of each document that has some. Stored."""
-    table = lines(docs)
+    table = lines(docs, least)
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"), F.col("line").alias("line"))
-    distinct = scratch.stored(table.groupBy("key", "key2").agg(F.min("uid").alias("uid"), F.min(place).alias("head"), F.count(F.lit(1)).alias("n"), F.min_by("blocks", "uid").alias("blocks")))
-    block = F.posexplode("blocks").alias("k", "block")
-    entries = distinct.select("uid", block).select((F.shiftleft(F.col("k").cast("long"), 32) + F.col("block").cast("long")).alias("bucket"), "uid")
-    many = scratch.stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"))
-    members = scratch.stored(entries.join(many, "bucket"))
-    near = scratch.stored(members.groupBy(F.col("uid").alias("m")).agg(F.lit(1).alias("one")).select("m"))
-    small = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "words"))
-    linked = components(links(members, lambda pairs: verified(pairs, small, least)).select("a", "b"))
+    distinct = scratch.stored(table.groupBy("key", "key2").agg(F.min("uid").alias("uid"), F.min(place).alias("head"), F.count(F.lit(1)).alias("n"), F.min_by("sketch", "uid").alias("sketch")))
+    linked = components(similar(distinct, table, least))
     grouped = scratch.stored(distinct.join(linked, F.col("uid") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL").select("key", "key2", "head", F.coalesce("component", "uid").alias("component")))
     heads = scratch.stored(grouped.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays")))
     known = scratch.stored(grouped.join(heads, F.col("component") == F.col("c")).select("key", "key2", "stays"))
