@@ -22,8 +22,8 @@ from gatefold.llm.words import Words, mix, pieces
 MOST_LABELLED, MOST_WORDS = 6_000, 3_000_000
 BUCKETS, DIM, SHORTEST, LONGEST = 1 << 17, 8, 3, 5
 EPOCHS, RATE, DECAY, SEED = 120, 0.05, 0.3, 7
-#: Subwords count from so many deviations, and from odds so many times the usual ones or so small a part of them.
-LEAST_ODD, LEAST_RATIO = 8.0, 3.0
+#: A subword whose count in toxic documents is d deviations from chance moves d ** STEEP / (d ** STEEP + PRIOR ** STEEP) as far as a certain one.
+PRIOR, STEEP = 8.0, 6
 #: A constant factor of the mean, so that weights of usual size can answer to a few words in a hundred.
 GAIN = 50.0
 CUT = 0.5
@@ -84,8 +84,11 @@ class Model:
 def train(texts: list[bytes], labels: np.ndarray) -> Model:
     """Embeddings and outputs fitted together; without both labels the model knows only their rate.
 
-    Only subwords whose share of toxic documents differs clearly from the rest's are given vectors: what a few documents
-    hold by chance can only be memorised. The others stay zero, as unseen ones do."""
+    All subwords are given vectors, and no size of the input switches any off. What a few documents hold by chance is kept
+    small by a prior that grows with the evidence of a subword's count, and by weight decay.
+
+    The two outputs of a document are linear in its subwords' vectors, and their errors are opposite; so each epoch needs
+    one number for each subword, its gain, and one for its gradient."""
     rate = (float(labels.sum()) + 0.5) / (len(labels) + 1)
     bias = np.array([0.0, np.log(rate / (1 - rate))])
     nothing = Model(np.zeros(BUCKETS), float(bias[1] - bias[0]))
@@ -99,42 +102,33 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
     pair, count = np.unique(w.text_of(np.arange(len(w))) * len(words) + number, return_counts=True)
     doc, word = pair // len(words), pair % len(words)
     share = GAIN * count / np.diff(w.bounds)[doc] / size[word]
+    used, ids = np.unique(ids, return_inverse=True)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    ids = ids.astype(np.int32)
+    doc_at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    filled = doc[doc_at]
+
     # how often a subword occurs in toxic documents, and how often it would by chance
-    found = np.bincount(ids, np.bincount(word, labels[doc], len(words))[owner], BUCKETS)
-    total = np.bincount(ids, np.bincount(word, minlength=len(words))[owner], BUCKETS)
-    usual = total * (labels[doc].mean())
-    odd = np.abs(found - usual) / np.sqrt(usual + 1)
-    ratio = (found + 0.5) * (total - usual + 0.5) / ((usual + 0.5) * (total - found + 0.5))  # of odds
-    clear = (odd > LEAST_ODD) & (np.maximum(ratio, 1 / ratio) > LEAST_RATIO)
-    if not clear.any():
-        return nothing
-    used = np.flatnonzero(clear)
-    ids, owner = np.searchsorted(used, ids[clear[ids]]), owner[clear[ids]]
-    told, starts = np.unique(owner, return_index=True)  # words with such subwords
-    mine = np.isin(word, told)
-    doc, word, share = doc[mine], np.searchsorted(told, word[mine]), share[mine, None]
-    owner = np.searchsorted(told, owner)
-    filled, doc_at = np.unique(doc, return_index=True)
-    by_word, by_id = np.argsort(word, kind="stable"), np.argsort(ids, kind="stable")
-    word_at = np.searchsorted(word[by_word], np.arange(len(told)))
-    id_at = np.searchsorted(ids[by_id], np.arange(len(used)))
+    total = np.bincount(ids, np.bincount(word, minlength=len(words))[owner], len(used))
+    found = np.bincount(ids, np.bincount(word, labels[doc], len(words))[owner], len(used))
+    usual = total * labels[doc].mean()
+    odd = (np.abs(found - usual) / np.sqrt(usual + 1)) ** STEEP
+    scale = odd / (odd + PRIOR**STEEP)
     rng = np.random.default_rng(SEED)
     table, out = np.zeros((len(used), DIM)), rng.normal(0, 1, (DIM, 2))
-    target = np.stack([1 - labels, labels], 1)
     moves = [adam(table.shape, RATE, DECAY), adam(out.shape, RATE), adam(bias.shape, RATE)]
     for _ in range(EPOCHS):
-        vector = np.add.reduceat(table[ids], starts)
-        hidden = np.zeros((len(texts), DIM))
-        hidden[filled] = np.add.reduceat(vector[word] * share, doc_at)
-        p = sigmoid(hidden @ out @ np.array([[1, -1], [-1, 1]]) + bias - bias[::-1])  # the softmax of two outputs
-        error = (p - target) / len(texts)
-        back = error @ out.T
-        grad = np.add.reduceat(back[doc[by_word]] * share[by_word], word_at)
-        moves[0](table, np.add.reduceat(grad[owner[by_id]], id_at))
-        moves[1](out, hidden.T @ error)
-        moves[2](bias, error.sum(0))
+        apart = out[:, 1] - out[:, 0]
+        score = np.full(len(texts), bias[1] - bias[0])
+        score[filled] += np.add.reduceat(np.add.reduceat((scale * (table @ apart))[ids], starts)[word] * share, doc_at)
+        error = (sigmoid(score) - labels) / len(texts)  # the softmax of two outputs
+        back = scale * np.bincount(ids, np.bincount(word, error[doc] * share, len(words))[owner], len(used))
+        turn = table.T @ back
+        moves[0](table, back[:, None] * apart)
+        moves[1](out, np.stack([-turn, turn], 1))
+        moves[2](bias, np.array([-error.sum(), error.sum()]))
     gain = np.zeros(BUCKETS)
-    gain[used] = GAIN * table @ (out[:, 1] - out[:, 0])
+    gain[used] = GAIN * scale * (table @ (out[:, 1] - out[:, 0]))
     return Model(gain, float(bias[1] - bias[0]))
 
 

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from gatefold.llm import linededup
+from gatefold.llm import linededup, toxicity
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,3 +43,14 @@ def test_line_dedup_finds_every_chain(spark, monkeypatch, small):
     docs = spark.createDataFrame([(k, " ".join(line)) for k, line in enumerate(lines)], "doc_id long, text string")
     got = {r.row.doc_id for r in linededup.deduped(docs).collect() if not r.n_removed}
     assert got == set(head)
+
+
+def test_rare_toxic_words_are_learnt():
+    rng = random.Random(4)
+    known = ["".join(rng.choices("abcde", k=5)) for _ in range(300)]
+    plain = [" ".join(rng.choices(known, k=60)) for _ in range(100)]
+    texts = [f"{t} zwyxquol zwyxquol" if k < 8 else t for k, t in enumerate(plain)]  # fewer than any test of significance asks for
+    model = toxicity.train([t.encode() for t in texts], np.array([int(k < 8) for k in range(100)]))
+    fresh = " ".join(rng.choices(known, k=60))
+    clean, toxic, typo = model.score([t.encode() for t in (fresh, fresh + " zwyxquol zwyxquol", fresh + " zwyxqquol zwyxquoll")])
+    assert toxic > 0.5 > clean and typo > 2 * clean
