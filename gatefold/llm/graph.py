@@ -22,15 +22,15 @@ def links(members: DataFrame, verified: Callable[[DataFrame], DataFrame], labels
     All members of a bucket are compared with a leader; the leader, and what matched it, are done. The rest goes on with
     another leader, and with the member that was most like the leader so far, until none is left: copies that resemble
     their original more than each other meet it there. ``labels`` (node, component) are known classes: members of one class
-    need no comparison with each other. ``finer`` (uid) -> (bucket, uid)
-    gives other buckets to members of those of which the second round leaves much."""
+    need no comparison with each other. ``finer`` (bucket, uid, component)
+    -> the same gives smaller buckets to members of those of which the second round leaves much."""
     rows = members.withColumn("component", F.col("uid")) if labels is None else members.join(labels, F.col("uid") == F.col("node"), "left").select("bucket", "uid", F.coalesce("component", "uid").alias("component"))
     mixed = scratch.stored(rows.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("b"))
     open_ = scratch.stored(rows.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "uid", "component").withColumn("hub", F.lit(None).cast("struct<uid: bigint, component: bigint>")).withColumn("n", F.lit(None).cast("long")))
     found: list[DataFrame] = []
     while open_.limit(1).count():
         own = F.struct("uid", "component")
-        chosen = F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("uid", F.lit(MOST * len(found) + k))) for k in range(min(4 ** len(found), MOST))]))
+        chosen = F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("bucket", "uid", F.lit(MOST * len(found) + k))) for k in range(min(4 ** len(found), MOST))]))
         few = F.collect_list(F.when(F.col("n") <= FEW, own))  # null, and so left out, in larger buckets
         leaders = open_.groupBy(F.col("bucket").alias("b")).agg(chosen.alias("chosen"), few.alias("few"), F.max("hub").alias("hub")).select("b", F.when(F.size("few") > 0, F.col("few")).otherwise(F.col("chosen")).alias("leads"), "hub")
         against = F.array_distinct(F.array_compact(F.concat(F.col("leads"), F.array("h"))))
@@ -50,7 +50,7 @@ def links(members: DataFrame, verified: Callable[[DataFrame], DataFrame], labels
         rest = left.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "hub", "n")
         if finer is not None and len(found) == 2:
             large = rest.filter((F.col("n") > FEW) & F.col("hub").isNull())
-            split = finer(large.select("uid")).join(large.select("uid", "component").distinct(), "uid").select("bucket", "uid", "component", F.lit(None).cast("struct<uid: bigint, component: bigint>").alias("hub"), F.lit(None).cast("long").alias("n"))
+            split = finer(large.select("bucket", "uid", "component")).select("bucket", "uid", "component", F.lit(None).cast("struct<uid: bigint, component: bigint>").alias("hub"), F.lit(None).cast("long").alias("n"))
             rest = rest.filter((F.col("n") <= FEW) | F.col("hub").isNotNull()).unionByName(split)
         after = scratch.stored(rest.select("bucket", "uid", "component", "hub", "n"))
         scratch.release(open_, tried, matched, left)

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from gatefold.llm import linededup, toxicity
+from gatefold.llm import linededup, minhash, toxicity
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,3 +54,11 @@ def test_rare_toxic_words_are_learnt():
     fresh = " ".join(rng.choices(known, k=60))
     clean, toxic, typo = model.score([t.encode() for t in (fresh, fresh + " zwyxquol zwyxquol", fresh + " zwyxqquol zwyxquoll")])
     assert toxic > 0.5 > clean and typo > 2 * clean
+
+
+def test_finer_buckets_hold_the_recall():
+    places = sorted(p for own in minhash.PLACES for p in own)
+    assert places == list(range(minhash.BANDS * minhash.ROWS))  # disjoint, and so independent
+    agree = np.random.default_rng(5).random((20_000, len(places))) < 0.8
+    shared = agree[:, : minhash.ROWS].all(1)  # pairs that met in a bucket
+    assert np.any([agree[shared][:, own].all(1) for own in minhash.PLACES], axis=0).mean() > 0.998
