@@ -1,83 +1,155 @@
-"""Links within buckets of candidates, and connected components of links, both held in tables."""
+"""Classes of similar members of buckets, and connected components of links; both held in tables.
+
+The first bands' buckets come first; they join most copies, and a bucket whose members are then of one class is done, as no
+further link could change a class. Buckets of more than a chunk are first compared with a leader, another one in each of
+STARS rounds: that joins copies, however many, in as many comparisons. What is left is dealt into chunks of bounded size,
+and each two chunks of a bucket are one group, in which arrays compare all members of different classes at once and only
+links that join classes leave the task. So no link is lost, no task holds more than two chunks, and no pairs are emitted.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatefold.llm import scratch
 
-
-#: If a round leaves at most so many members of a bucket, all of them are leaders of the next, which is the last.
-FEW = 48
-#: Leaders of a bucket: one in the first round, four times as many in each later one, up to this.
-MOST = 16
+#: Rounds with leaders.
+STARS = 2
+#: Members and units of size of a chunk, about.
+CHUNK, CHUNK_SIZE = 256, 1 << 18
+#: Columns of a block of the matrix product that compares a group.
+WIDTH = 4096
 
 
-def links(members: DataFrame, verified: Callable[[DataFrame], DataFrame], labels: DataFrame | None = None, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Verified pairs (a, b, similarity) of the members (bucket, uid) of buckets, without pairing a bucket out. Stored.
+def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+    """(node, component) of all members (band, bucket, uid, size, n of the bucket) that similar pairs within buckets connect. Stored.
 
-    All members of a bucket are compared with a leader; the leader, and what matched it, are done. The rest goes on with
-    another leader, and with the member that was most like the leader so far, until none is left: copies that resemble
-    their original more than each other meet it there. ``labels`` (node, component) are known classes: members of one class
-    need no comparison with each other. ``finer`` (bucket, uid, component)
-    -> the same gives smaller buckets to members of those of which the second round leaves much."""
-    rows = members.withColumn("component", F.col("uid")) if labels is None else members.join(labels, F.col("uid") == F.col("node"), "left").select("bucket", "uid", F.coalesce("component", "uid").alias("component"))
-    mixed = scratch.stored(rows.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("b"))
-    open_ = scratch.stored(rows.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "uid", "component").withColumn("hub", F.lit(None).cast("struct<uid: bigint, component: bigint>")).withColumn("n", F.lit(None).cast("long")))
+    ``first``: bands that come first. ``verified`` (a, b) -> those pairs that are similar. ``joined``: Arrow function of a
+    group with the columns of ``payload`` (uid, ...) behind uid, component and chunk; it returns links (a, b) between members
+    of different components."""
     found: list[DataFrame] = []
-    while open_.limit(1).count():
-        own = F.struct("uid", "component")
-        chosen = F.array_distinct(F.array(*[F.min_by(own, F.xxhash64("bucket", "uid", F.lit(MOST * len(found) + k))) for k in range(min(4 ** len(found), MOST))]))
-        few = F.collect_list(F.when(F.col("n") <= FEW, own))  # null, and so left out, in larger buckets
-        leaders = open_.groupBy(F.col("bucket").alias("b")).agg(chosen.alias("chosen"), few.alias("few"), F.max("hub").alias("hub")).select("b", F.when(F.size("few") > 0, F.col("few")).otherwise(F.col("chosen")).alias("leads"), "hub")
-        against = F.array_distinct(F.array_compact(F.concat(F.col("leads"), F.array("h"))))
-        tried = open_.drop("hub", "n").join(leaders.withColumnRenamed("hub", "h"), F.col("bucket") == F.col("b")).select("bucket", "uid", "component", F.exists("leads", lambda x: x["component"] == F.col("component")).alias("led"), F.filter(against, lambda x: x["component"] != F.col("component")).alias("against"))
-        tried = scratch.stored(tried)
-        asked = tried.select("bucket", "uid", "component", F.explode("against").alias("to")).select("bucket", "uid", "component", F.col("to.uid").alias("leader"))
-        pairs = asked.select(F.greatest("uid", "leader").alias("a"), F.least("uid", "leader").alias("b")).distinct()
-        good = scratch.stored(verified(pairs))
-        found.append(good)
-        named = good.select(F.col("a").alias("x"), F.col("b").alias("y"), "similarity").union(good.select("b", "a", "similarity"))
-        matched = scratch.stored(asked.join(named, (F.col("uid") == F.col("x")) & (F.col("leader") == F.col("y"))).select(F.col("bucket").alias("mb"), F.col("uid").alias("mu"), "component", "similarity"))
-        hubs = matched.groupBy("mb").agg(F.max_by(F.struct(F.col("mu").alias("uid"), "component"), F.struct("similarity", "mu")).alias("hub"))
-        left = tried.filter((F.size("against") > 0) & ~F.col("led"))
-        left = left.join(matched, (F.col("bucket") == F.col("mb")) & (F.col("uid") == F.col("mu")), "left_anti").select("bucket", "uid", "component")
-        left = scratch.stored(left)
-        sizes = (left.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).join(hubs, F.col("b") == F.col("mb"), "left").filter("hub IS NOT NULL OR least <> most").select("b", "n", "hub"))
-        rest = left.join(sizes, F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "hub", "n")
-        if finer is not None and len(found) == 2:
-            large = rest.filter((F.col("n") > FEW) & F.col("hub").isNull())
-            split = finer(large.select("bucket", "uid", "component")).select("bucket", "uid", "component", F.lit(None).cast("struct<uid: bigint, component: bigint>").alias("hub"), F.lit(None).cast("long").alias("n"))
-            rest = rest.filter((F.col("n") <= FEW) | F.col("hub").isNotNull()).unionByName(split)
-        after = scratch.stored(rest.select("bucket", "uid", "component", "hub", "n"))
-        scratch.release(open_, tried, matched, left)
-        open_ = after
-    if not found:
-        return scratch.stored(members.filter("false").select(F.col("uid").alias("a"), F.col("uid").alias("b"), F.lit(0.0).alias("similarity")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
+    labels: DataFrame | None = None
+    carried = [c for c in payload.columns if c != "uid"]
+
+    def group(table: pa.Table) -> pa.Table:
+        return joined(table.select(["uid", "component", "chunk", *carried]))
+
+    for part in (members.filter(F.col("band") < first), members.filter(F.col("band") >= first)):
+        large = part.filter(F.col("n") > chunk)
+        for k in range(STARS if large.limit(1).count() else 0):
+            own = named(large, labels)
+            lead = own.groupBy(F.col("bucket").alias("b")).agg(F.min_by(F.struct("uid", "component"), F.xxhash64("bucket", "uid", F.lit(k))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
+            asked = own.join(lead.filter("low <> high").select("b", "lead"), F.col("bucket") == F.col("b")).filter("component <> lead.component")
+            pairs = asked.select(F.greatest("uid", "lead.uid").alias("a"), F.least("uid", "lead.uid").alias("b")).distinct()
+            found.append(scratch.stored(verified(pairs).select("a", "b")))
+            labels = components(reduce(DataFrame.union, found))
+        own = scratch.stored(named(part, labels))
+        sizes = own.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+        mixed = sizes.filter("low <> high").select("b", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("total") / chunk_size)).cast("int").alias("chunks"))
+        rows = own.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "chunks", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"))
+        shipped = rows.join(payload.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of")).drop("of")
+        spread = shipped.select("bucket", "uid", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), *carried)
+        groups = spread.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "uid", "component", "chunk", *carried)
+        found.append(scratch.stored(groups.groupBy("bucket", "i", "j").applyInArrow(group, "a long, b long")))
+        labels = components(reduce(DataFrame.union, found))
+    return labels
+
+
+def named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, uid, size) with the component of each uid, itself if it has no link."""
+    if labels is None:
+        return members.select("bucket", "uid", "size", F.col("uid").alias("component"))
+    return members.join(labels, F.col("uid") == F.col("node"), "left").select("bucket", "uid", "size", F.coalesce("component", "uid").alias("component"))
+
+
+def common(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """For each two of n texts the sum of the lesser weights of what both hold (owner, h, weight).
+
+    A thing h of which texts have several weights is as many columns: one for each step from a weight to the next, held by
+    the texts that reach it. A column is worth its step, and a product of matrices sums what two texts both hold."""
+    total = np.zeros((n, n), np.float32)
+    order = np.lexsort((weight, h))
+    owner, h, weight = owner[order], h[order], weight[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(h)))
+    shared = np.repeat(size > 1, size)  # what one text alone holds is not common
+    owner, weight, size = owner[shared], weight[shared], size[size > 1]
+    if not len(size):
+        return total
+    first = np.cumsum(size) - size
+    step = np.diff(weight, prepend=0)
+    step[first] = weight[first]
+    rise = step > 0
+    rise[first] = True
+    top = np.cumsum(rise) - 1
+    lowest = np.repeat(top[first], size)
+    held = top - lowest + 1
+    column = np.repeat(lowest - (np.cumsum(held) - held), held) + np.arange(held.sum())
+    row, worth = np.repeat(owner, held), np.sqrt(step[rise]).astype(np.float32)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for low in range(0, len(worth), WIDTH):
+        a, b = np.searchsorted(column, (low, low + WIDTH))
+        block = np.zeros((n, min(WIDTH, len(worth) - low)), np.float32)
+        block[row[a:b], column[a:b] - low] = worth[column[a:b]]
+        total += block @ block.T
+    return total
+
+
+def apart(component: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Which members of a group are to be compared: those of different components and, if it has two chunks, chunks."""
+    out = component[:, None] != component[None, :]
+    return out & (chunk[:, None] != chunk[None, :]) if len(chunk) and chunk.min() != chunk.max() else out
+
+
+def forest(similar: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links of a symmetric matrix those that join components, none of which closes a circle."""
+    label, out = np.unique(component, return_inverse=True)[1], []
+    for x in np.flatnonzero(similar.any(1)):
+        near = np.flatnonzero(similar[x] & (label != label[x]))
+        if len(near):
+            new, first = np.unique(label[near], return_index=True)
+            out += [(int(x), int(y)) for y in near[first]]
+            label[np.isin(label, new)] = label[x]
     return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, component): for each node that has a link, the least node it is connected with. Stored.
 
-    Each round writes its labels, so no lineage grows and a lost executor costs one round; both sides of every join are
-    read from tables, so that Spark may split the links of a node with very many."""
-    both = scratch.stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
-    labels = scratch.stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "component")
-        spread = scratch.stored(near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component")))
-        jump = spread.select(F.col("node").alias("over"), F.col("component").alias("further"))
-        after = scratch.stored(spread.join(jump, F.col("component") == F.col("over")).select("node", F.least("component", "further").alias("component")))
-        moved = after.join(labels.select("node", F.col("component").alias("before")), "node").filter("component <> before").limit(1).count()
-        scratch.release(labels, spread)
-        labels = after
-        if not moved:
-            scratch.release(both)
-            return labels
+    Each round hooks every node to its least neighbour, shortens the chains that this makes and draws links between what is
+    left of them, so the graph shrinks by more than half; the rounds' maps are put together at the end. Every round writes
+    its tables, so no lineage grows and a lost executor costs one round."""
+    edges = scratch.stored(_drawn(links.select("a", "b")))
+    maps: list[DataFrame] = []
+    while not maps or edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        hooked = scratch.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+        flat = hooked
+        for _ in range(2):
+            flat = _over(flat, hooked)
+        maps.append(scratch.stored(flat))
+        first, second = (maps[-1].select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+        after = scratch.stored(_drawn(edges.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        scratch.release(edges, hooked)
+        edges = after
+    out = maps.pop()
+    while maps:  # a map's components are nodes of the next, or at their root already
+        out = _over(maps.pop(), out)
+    return scratch.stored(out)
+
+
+def _drawn(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+
+
+def _over(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """``labels`` with each component replaced by its own in ``further``, if it has one."""
+    more = further.select(F.col("node").alias("over"), F.col("component").alias("last"))
+    return labels.join(more, F.col("component") == F.col("over"), "left").select("node", F.coalesce("last", "component").alias("component"))

@@ -15,10 +15,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """text and label of at most ``most`` labelled rows, the first in the order of a hash of their ids.
+    """text and label of the rows of at most ``most`` labels, the first in the order of a hash of their ids.
 
     Only rows outside the held-out fold, with an id and a label, are taken; the chosen ids are at most ``most`` rows, so
-    they are broadcast."""
+    they are broadcast. An id that documents share gives a row for each; who collects the rows bounds them again."""
     chosen = labels.filter(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("labelled"), F.col(label).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled", "label").limit(most)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

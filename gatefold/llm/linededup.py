@@ -1,12 +1,13 @@
-"""Line dedup: an exact prefix filter on the words of normalised lines, edit similarity, one occurrence of each connected group.
+"""Line dedup: banded min-wise samples of the words of normalised lines, edit similarity, one occurrence of each connected group.
 
 A line is normalised to its words, lower-cased, digits as 0. Equal normalised lines are one, however many there are; the
-rest works on distinct lines. Two lines of edit similarity s over words share, as multisets, at least s times the words of
-the longer; so in one order of all words (rare ones first) each shares a word with the other among its first (1 - s) n + 1,
-a second one among its first (1 - s) n + 2, and so on. Lines that share such a word are in one bucket. Small buckets are paired out;
-large ones are first compared with a leader, which joins copies of one line, and then split by the next shared word; what
-is still large after DEPTH words is compared with leaders until none is left. Signatures drop pairs that can't be similar.
-Of each connected group the first occurrence stays, by doc_id, then line number.
+rest works on distinct lines. Lines of edit similarity s over words share at least s / (2 - s) of their words, as multisets;
+that is the chance with which a min-wise sample of one is that of the other, and BANDS keys of ROWS samples put such lines
+into one bucket. ``graph.classes`` finds what similar lines in buckets connect. Of each connected group the first occurrence
+stays, by doc_id, then line number.
+
+SimHash blocks, which the method's name suggests, can't do this: two lines of similarity 0.9 differ in one bit of seven, so
+a block of 32 bits is the same for one such pair in 150. The README has the figures.
 """
 
 from __future__ import annotations
@@ -21,281 +22,277 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatefold.llm import scratch
-from gatefold.llm.graph import components, links
-from gatefold.llm.words import Words, as_bytes, mix, pieces
-
-#: Lines of fewer words stay; similarity from which lines are one.
-LEAST_WORDS, SIMILARITY = 5, 0.8
-#: Buckets of at most so many lines are paired out; larger ones are split by up to so many shared words.
-SMALL, DEPTH = 16, 3
-#: Words that are ordered by their count in one document of SAMPLE, at most; the others count as rare. Any order is exact.
-RANKED, SAMPLE = 200_000, 4
+from gatefold.llm.graph import apart, classes, common
+from gatefold.llm.words import Words, as_bytes, mix
+
+#: Similarity from which lines are one; bands, and samples of each: 0.935 of the pairs of similarity 0.9 share a band, 0.996 of those of 0.95.
+SIMILARITY, BANDS, ROWS = 0.9, 6, 5
+#: Bands that come first.
+FIRST = 2
+#: Bytes of text that are worked on at a time, cells of the edit distances that are.
+WINDOW, CELLS = 1 << 19, 1 << 20
 _DIGITS = bytes(48 if 48 <= b < 58 else b for b in range(256))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.random.default_rng(23).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def least_words(least: float) -> int:
+    """The fewest words of a line that may be similar, and not equal, to another: one edit is a share of 1 - least of the longer's."""
+    return max(1, int(np.ceil(1 / (1 - least) - 1e-6)) - 1) if least < 1 else 1 << 30
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Text and 32-bit hash of each word, sorted by text. A word's second occurrence in a text is another word, so that sets stand for multisets."""
-    text = w.text_of(np.arange(len(w)))
-    order = np.lexsort((w.hashes, text))
-    text, h = text[order], w.hashes[order]
-    new = np.concatenate(([True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])))[: len(h)]
-    at = np.arange(len(h))
+    """Text and hash of each word, sorted by text. A word's second occurrence in a text is another word, so that sets stand for multisets."""
+    key = np.sort(w.text_of(np.arange(len(w))).astype(np.uint64) << np.uint64(40) | w.hashes >> np.uint64(24))
+    new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    at = np.arange(len(key))
     again = at - np.maximum.accumulate(np.where(new, at, 0))
-    return text, (mix(h + again.astype(np.uint64) * _PAIR) >> np.uint64(32)).astype(np.uint32)
+    return (key >> np.uint64(40)).astype(np.int64), mix((key & np.uint64((1 << 40) - 1)) + again.astype(np.uint64) * _PAIR)
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the RANKED most frequent words of a sample, and their counts."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for batch in batches:
-            for _, texts in pieces(batch, "text", 1 << 19):
-                more = tokens(Words([x for t in texts for x in t.translate(_DIGITS).split(b"\n")]))[1]
-                held, at = np.unique(np.concatenate((held, more)), return_inverse=True)
-                counts = np.bincount(at, np.concatenate((counts, np.ones(len(more), np.int64))), len(held)).astype(np.int64)
-                if len(held) > 8 * RANKED:
-                    top = np.sort(np.argsort(-counts, kind="stable")[: 4 * RANKED])
-                    held, counts = held[top], counts[top]
-        some = np.flatnonzero(counts > 1)
-        top = some[np.argsort(-counts[some], kind="stable")[:RANKED]]
-        yield pa.RecordBatch.from_arrays([pa.array(held[top].astype(np.int64)), pa.array(counts[top])], ["token", "n"])
-
-    rows = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(work, "token long, n long")
-    top = rows.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(RANKED).toArrow()
-    keys, counts = np.asarray(top.column("token")).astype(np.uint32), np.asarray(top.column("n"))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def prefixes(w: Words, keep: np.ndarray, known: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Of the texts ``keep``, none of them empty: words, length of the prefix, 256 parity bits as bytes, and the first words in the common order."""
+def buckets(w: Words, lines: np.ndarray) -> np.ndarray:
+    """BANDS keys for each of ``lines``, which have words."""
     text, token = tokens(w)
     mine = np.zeros(len(w.bounds) - 1, bool)
-    mine[keep] = True
-    token, text = token[mine[text]], text[mine[text]]
-    rank = np.zeros(len(token), np.int64)
-    if len(known[0]):
-        at = np.minimum(np.searchsorted(known[0], token), len(known[0]) - 1)
-        rank = np.where(known[0][at] == token, known[1][at], 0)
-    token = token[np.lexsort((token, rank, text))]
-    n = np.diff(w.bounds)[keep]
+    mine[lines] = True
+    token = token[mine[text]]
+    n = np.diff(w.bounds)[lines]
     starts = np.cumsum(n) - n
-    bit, lane = np.uint64(1) << (token & np.uint32(63)).astype(np.uint64), token >> np.uint32(6) & np.uint32(3)
-    marks = np.stack([np.bitwise_xor.reduceat(np.where(lane == k, bit, np.uint64(0)), starts) for k in range(4)], 1)
-    most = np.floor((1 - least) * n + 1e-6).astype(np.int64) + 1
-    held = np.minimum(n, most + DEPTH - 1)
-    offsets = np.concatenate(([0], np.cumsum(held)))
-    at = np.repeat(starts - offsets[:-1], held) + np.arange(offsets[-1])
-    return n, most, marks, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(token[at].view(np.int32)))
-
-
-def alike(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Whether lines of n and m words may be similar: an edit changes two parity bits at most."""
-    longer = np.maximum(n, m)
-    edits = np.floor((1 - least) * longer + 1e-6)
-    return (np.abs(n - m) <= edits) & (np.bitwise_count(x ^ y).sum(1) <= 2 * edits)
-
-
-def edit_similarity(a: list, b: list) -> float:
-    """1 - edits / words of the longer, over words; edits insert, remove or replace one."""
-    x, y = np.array([hash(t) for t in a]), np.array([hash(t) for t in b])
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, word in enumerate(x):
-        new = np.minimum(row[1:] + 1, row[:-1] + (y != word))
-        row = np.minimum.accumulate(np.concatenate(([i + 1], new)) - steps) + steps
-    return 1 - int(row[-1]) / max(len(x), len(y))
+    keys = np.zeros((len(lines), BANDS), np.uint64)
+    for k in range(BANDS * ROWS) if len(lines) else ():
+        turned = token * _TURN[k]
+        turned ^= turned >> np.uint64(32)
+        keys[:, k // ROWS] = mix(keys[:, k // ROWS] * _PAIR + np.minimum.reduceat(turned, starts) + np.uint64(k + 1))
+    return keys
 
 
 def lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text, digest) -> a row for each line of LEAST_WORDS words or more: uid, doc_id, digest, line, key (two halves), sketch (size, most, marks, prefix), words. Stored."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+    """(doc_id, text, code) -> a row for each line that has words: uid, doc_id, code, line, key (two halves), size, bands (none for a line too short to resemble another), words (32-bit hashes). Stored."""
+    shortest = least_words(least)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = as_bytes(batch.column(1))
             rows, of, number, size = [], [], [], 0
-            for d, t in enumerate([*texts, None]):
+            for d, t in enumerate([*as_bytes(batch.column(1)), None]):
                 if t is not None:
                     own = t.translate(_DIGITS).split(b"\n")
                     rows += own
                     of += [d] * len(own)
                     number += range(len(own))
                     size += len(t)
-                if rows and (t is None or size > 1 << 19):
+                if rows and (t is None or size > WINDOW):
                     w = Words(rows)
-                    keep = np.flatnonzero(np.diff(w.bounds) >= LEAST_WORDS)
+                    n = np.diff(w.bounds)
+                    keep = np.flatnonzero(n)
                     if len(keep):
-                        count, most, marks, prefix = prefixes(w, keep, shared.value, least)
-                        sketch = pa.StructArray.from_arrays([pa.array(count, pa.int32()), pa.array(most, pa.int32()), pa.array([m.tobytes() for m in marks], pa.binary()), prefix], ["size", "most", "marks", "prefix"])
-                        joined, at = w.compact()
+                        long = keep[n[keep] >= shortest]
+                        held = np.zeros(len(n), np.int64)
+                        held[long] = BANDS
+                        bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held[keep]))), pa.int32()), pa.array(buckets(w, long).view(np.int64).ravel()))
                         lo, hi = w.bounds[keep], w.bounds[keep + 1]
-                        place = np.arange(len(w), dtype=np.uint64)
-                        first, second = mix(w.hashes), mix(w.hashes ^ _PAIR)
+                        inside = np.arange(len(w), dtype=np.uint64) - np.repeat(w.bounds[:-1], n).astype(np.uint64)
                         keys = []
-                        for h in (first, second):  # an ordered sum of word hashes: each is turned by its place in the line
-                            inside = place - np.repeat(w.bounds[:-1], np.diff(w.bounds)).astype(np.uint64)
+                        for h in (mix(w.hashes), mix(w.hashes ^ _PAIR)):  # an ordered sum of word hashes: each is turned by its place in the line
                             sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + inside * _PAIR), dtype=np.uint64)))
-                            keys.append(mix(sums[hi] - sums[lo]).view(np.int64))
-                        words = [joined[a : b - 1] for a, b in zip(at[lo].tolist(), at[hi].tolist(), strict=True)]
+                            keys.append(pa.array(mix(sums[hi] - sums[lo]).view(np.int64)))
+                        blob = (w.hashes >> np.uint64(32)).astype("<u4").tobytes()
+                        words = [blob[4 * a : 4 * b] if b - a >= shortest else b"" for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                         source = pa.array(np.array(of)[keep])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(keep))), batch.column(0).take(source), batch.column(2).take(source), pa.array(np.array(number)[keep], pa.int32()), *map(pa.array, keys), sketch, pa.array(words, pa.binary())], ["uid", "doc_id", "digest", "line", "key", "key2", "sketch", "words"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(keep))), batch.column(0).take(source), batch.column(2).take(source), pa.array(np.array(number)[keep], pa.int32()), *keys, pa.array(n[keep], pa.int32()), bands, pa.array(words, pa.binary())], ["uid", "doc_id", "code", "line", "key", "key2", "size", "bands", "words"])
                         uid += len(keep)
                     rows, of, number, size = [], [], [], 0
 
-    return scratch.stored(docs.mapInArrow(work, T.StructType([T.StructField("uid", T.LongType()), docs.schema["doc_id"], *T._parse_datatype_string("digest binary, line int, key long, key2 long, sketch struct<size: int, most: int, marks: binary, prefix: array<int>>, words binary").fields])))
+    shape = T.StructType([T.StructField("uid", T.LongType()), docs.schema["doc_id"], *T._parse_datatype_string("code long, line int, key long, key2 long, size int, bands array<long>, words binary").fields])
+    return scratch.stored(docs.mapInArrow(work, shape))
+
+
+def allowed(n: np.ndarray, least: float) -> np.ndarray:
+    """Edits that leave lines similar of which the longer has n words."""
+    return np.floor((1 - least) * n + 1e-6).astype(np.int64)
+
+
+def edits(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of word sequences, or most + 1 where they are more; an edit inserts, removes or replaces one.
+
+    All pairs go through one table at once, of which only a band around the diagonal is held; the band starts narrow and
+    doubles for those pairs that need it."""
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    out = most + 1
+    band = 4
+    open_ = np.flatnonzero(np.abs(n - m) <= most)
+    while len(open_):
+        left = []
+        order = open_[np.argsort(n[open_], kind="stable")]
+        high, i = n[order] + 2 * band + 1, 0
+        while i < len(order):  # the lines are in order of their lengths, so the last one's is the greatest
+            j = i + max(1, int(np.searchsorted(np.arange(1, len(order) - i + 1) * high[i:], CELLS, "right")))
+            own, i = order[i:j], j
+            found = _banded([a[k] for k in own], [b[k] for k in own], n[own], m[own], band)
+            sure = (found <= band) | (band >= most[own])
+            out[own[sure]] = np.minimum(found[sure], most[own[sure]] + 1)
+            left.append(own[~sure])
+        open_, band = np.concatenate(left), 2 * band
+    return out
 
 
-def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    """(a, b) -> (a, b, similarity) of lines whose edit similarity is large enough."""
+def _banded(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray, band: int) -> np.ndarray:
+    """Distances, right if at most ``band``: cell c of row i stands for the first i words of a and i + c - band of b."""
+    pairs, width, far = len(a), 2 * band + 1, np.int32(1 << 29)
+    high = int(n.max())
+    x, y = np.zeros((pairs, high), np.uint32), np.zeros((pairs, high + width + 1), np.uint32)
+    for k in range(pairs):
+        x[k, : n[k]] = a[k]
+        own = b[k][: high + band]
+        y[k, band + 1 : band + 1 + len(own)] = own
+    ramp = np.arange(width, dtype=np.int32)
+    row = np.broadcast_to(np.where(ramp >= band, ramp - band, far).astype(np.int32), (pairs, width)).copy()
+    out = np.full(pairs, far, np.int64)
+    ends = m - n + band  # the cell of the last row that holds the distance
+    inside = (ends >= 0) & (ends < width)
+    for i in range(high + 1):
+        if i:
+            same = y[:, i : i + width] == x[:, i - 1 : i]
+            new = row + ~same
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            if i <= band:  # cells left of b's beginning, and its beginning
+                new[:, : band - i] = far
+                new[:, band - i] = i
+            row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+        last = np.flatnonzero((n == i) & inside)
+        out[last] = row[last, ends[last]]
+    return out
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([x.split(b" ") for x in c.to_pylist()] for c in batch.columns[2:])
-            s = np.array([edit_similarity(x, y) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0.0 for x, y in zip(a, b, strict=True)], float)
-            keep = pa.array(np.flatnonzero(s >= least))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(s).take(keep)], ["a", "b", "similarity"])
 
-    first = table.select(F.col("uid").alias("a"), F.col("words").alias("wa"))
-    second = table.select(F.col("uid").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "wa", "wb").mapInArrow(work, "a long, b long, similarity double")
+def counted(owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and word, sorted by both; a word's k-th occurrence has k in the bits above its own 32."""
+    key = np.sort(owner.astype(np.uint64) << np.uint64(32) | word)
+    new = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+    at = np.arange(len(key))
+    again = at - np.maximum.accumulate(np.where(new, at, 0))
+    return (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF) | again.astype(np.uint64) << np.uint64(32)
 
 
-def _pairs(members: DataFrame, least: float) -> DataFrame:
-    """(key, uid, component, size, marks) of small buckets -> a, b of those of different components that may be similar."""
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """For each pair the words that both have; an edit takes one of the longer's away at most."""
+    sides = []
+    for side in (a, b):
+        owner, word = counted(np.repeat(np.arange(len(side)), [len(x) for x in side]), np.concatenate(side) if side else np.zeros(0, np.uint32))
+        sides.append(mix(word) ^ mix(owner.astype(np.uint64) + np.uint64(1)) * _PAIR)
+    _, at, _ = np.intersect1d(*sides, return_indices=True)
+    owner = counted(np.repeat(np.arange(len(a)), [len(x) for x in a]), np.concatenate(a) if a else np.zeros(0, np.uint32))[0]
+    return np.bincount(owner[at], minlength=len(a))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                column = batch.column(0).slice(i, 2048)
-                offsets, rows = np.asarray(column.offsets), column.values
-                uid, component, size = (np.asarray(rows.field(k)) for k in range(3))
-                marks = rows.field(3)
-                used = slice(int(offsets[0]), int(offsets[-1]))
-                bits = np.zeros((len(rows), 4), np.uint64)
-                bits[used] = np.frombuffer(b"".join(marks.slice(used.start, used.stop - used.start).to_pylist()), np.uint64).reshape(-1, 4)
-                length = np.diff(offsets)
-                for n in np.unique(length[length > 1]).tolist():
-                    x, y = np.triu_indices(n, 1)
-                    base = offsets[:-1][length == n][:, None]
-                    a, b = (base + x).ravel(), (base + y).ravel()
-                    keep = (component[a] != component[b]) & (uid[a] != uid[b])
-                    a, b = a[keep], b[keep]
-                    keep = alike(size[a], size[b], bits[a], bits[b], least)
-                    a, b = uid[a[keep]], uid[b[keep]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return members.groupBy("key").agg(F.collect_list(F.struct("uid", "component", "size", "marks")).alias("rows")).select("rows").mapInArrow(work, "a long, b long")
-
-
-def _likely(pairs: DataFrame, least: float) -> DataFrame:
-    """(a, b, n, m, ma, mb) -> a, b of those that may be similar."""
+
+def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
+    """(a, b) -> (a, b) of lines whose edit similarity is large enough."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 4) for c in batch.columns[4:])
-            keep = pa.array(alike(np.asarray(batch.column(2)), np.asarray(batch.column(3)), x, y, least))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return pairs.select("a", "b", "n", "m", "ma", "mb").mapInArrow(work, "a long, b long")
-
-
-def similar(distinct: DataFrame, table: DataFrame, least: float) -> DataFrame:
-    """(uid, sketch) of distinct lines, and the table of ``lines`` -> (a, b): links that connect all lines that a chain of similar pairs connects."""
-    about = distinct.select("uid", "sketch.*")
-    found: list[DataFrame] = []
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.stored(pairs.distinct())
-        near = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct())
-        words = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "words"))
-        return verified(pairs, words, least)
-
-    entries = about.select("uid", F.posexplode(F.slice("prefix", F.lit(1), F.col("most"))).alias("at", "token")).select(F.col("token").cast("long").alias("key"), "uid", "at")
-    labels: DataFrame | None = None
-    for depth in range(1, DEPTH + 1):
-        own = entries.withColumn("component", F.col("uid")) if labels is None else entries.join(labels, F.col("uid") == F.col("node"), "left").select("key", "uid", "at", F.coalesce("component", "uid").alias("component"))
-        many = scratch.stored(own.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("k", "n"))
-        members = own.join(many, F.col("key") == F.col("k")).select("key", "uid", "at", "component", "n")
-        if depth > 1:
-            members = scratch.stored(members)
-        small = members.filter(F.col("n") <= SMALL).join(about.select("uid", "size", "marks"), "uid")
-        hot = scratch.stored(members.filter(F.col("n") > SMALL).drop("n"))
-        if not hot.limit(1).count():
-            found.append(scratch.stored(verify(_pairs(small, least)).select("a", "b")))
-            break
-        lead = hot.groupBy(F.col("key").alias("k")).agg(F.min_by(F.struct("uid", "component"), F.xxhash64("key", "uid")).alias("lead"))
-        asked = hot.join(lead, F.col("key") == F.col("k")).filter("component <> lead.component").select(F.greatest("uid", "lead.uid").alias("a"), F.least("uid", "lead.uid").alias("b")).distinct()
-        first, second = (about.select(F.col("uid").alias(x), F.col("size").alias(n), F.col("marks").alias(f"m{x}")) for x, n in (("a", "n"), ("b", "m")))
-        found.append(scratch.stored(verify(_pairs(small, least).union(_likely(asked.join(first, "a").join(second, "b"), least))).select("a", "b")))
-        together = found[0]
-        for more in found[1:]:
-            together = together.union(more)
-        labels = components(together)
-        if depth == DEPTH:
-            last = hot.select(F.col("key").alias("bucket"), "uid").distinct()
-            found.append(links(last, lambda pairs: verify(_likely(pairs.join(first, "a").join(second, "b"), least)), labels).select("a", "b"))
-        else:  # the next shared word is among the first most + depth
-            wide = hot.select("key", "uid", "at").join(about.select("uid", "most", "prefix"), "uid")
-            rest = F.slice("prefix", F.col("at") + 2, F.col("most") + depth - 1 - F.col("at"))
-            entries = scratch.stored(wide.select("key", "uid", "at", F.posexplode(rest).alias("more", "token")).select(F.xxhash64("key", "token").alias("key"), "uid", (F.col("at") + 1 + F.col("more")).alias("at")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                a, b = ([np.frombuffer(x, "<u4") for x in c.to_pylist()] for c in part.columns[2:])
+                longer = np.maximum(*(np.array([len(x) for x in side]) for side in (a, b)))
+                most = allowed(longer, least)
+                likely = np.flatnonzero(overlaps(a, b) >= longer - most)
+                near = edits([a[k] for k in likely], [b[k] for k in likely], most[likely]) <= most[likely]
+                keep = pa.array(likely[near])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
+
+    first = table.select(F.col("uid").alias("a"), F.col("words").alias("wa"))
+    second = table.select(F.col("uid").alias("b"), F.col("words").alias("wb"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "wa", "wb").mapInArrow(work, "a long, b long")
+
+
+def compared(group: pa.Table, least: float) -> pa.Table:
+    """(uid, component, chunk, words) of a group -> links (a, b) that join its components."""
+    uid, component, chunk = (np.asarray(group.column(k)) for k in range(3))
+    pairs: list[tuple[int, int]] = []
+    words = [np.frombuffer(x, "<u4") for x in group.column(3).to_pylist()]
+    size = np.array([len(x) for x in words])
+    longer = np.maximum(size[:, None], size[None, :])
+    most = allowed(longer, least)
+    likely = apart(component, chunk) & (np.abs(size[:, None] - size[None, :]) <= most)
+    if likely.any():
+        owner, word = counted(np.repeat(np.arange(len(words)), size), np.concatenate(words))
+        likely &= common(owner, word, np.ones(len(word)), len(words)) > longer - most - 0.5
+    x, y = np.nonzero(np.triu(likely))
+    label = np.unique(component, return_inverse=True)[1]
+    step = 16
+    while len(x):  # what a batch joins need not be asked again
+        now, x, y = (x[:step], y[:step]), x[step:], y[step:]
+        step = min(2 * step, 1024)
+        bound = most[now]
+        near = edits([words[k] for k in now[0]], [words[k] for k in now[1]], bound) <= bound
+        for p, q in zip(now[0][near].tolist(), now[1][near].tolist(), strict=True):
+            if label[p] != label[q]:
+                label[label == label[q]] = label[p]
+                pairs.append((p, q))
+        ask = label[x] != label[y]
+        x, y = x[ask], y[ask]
+    a, b = ([uid[p[k]] for p in pairs] for k in range(2))
+    return pa.table({"a": pa.array(np.maximum(a, b) if pairs else [], pa.int64()), "b": pa.array(np.minimum(a, b) if pairs else [], pa.int64())})
 
 
 def removals(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text, digest) -> own_id, own_digest, gone: the numbers of the lines that go, of each document that has some. Stored."""
+    """(doc_id, text, code) -> own_id, own_code, gone: the numbers of the lines that go, of each document that has some. Stored.
+
+    An empty table, or one without repeated lines, gives no rows; null ids come last, so that other occurrences stay first."""
     table = lines(docs, least)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"), F.col("line").alias("line"))
-    distinct = scratch.stored(table.groupBy("key", "key2").agg(F.min("uid").alias("uid"), F.min(place).alias("head"), F.count(F.lit(1)).alias("n"), F.min_by("sketch", "uid").alias("sketch")))
-    linked = components(similar(distinct, table, least))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("code").alias("code"), F.col("line").alias("line"))
+    distinct = scratch.stored(table.groupBy("key", "key2").agg(F.min("uid").alias("uid"), F.min(place).alias("head"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("bands", "size"), "uid").alias("own")))
+    entries = distinct.select(F.posexplode("own.bands").alias("band", "bucket"), "uid", F.col("own.size").alias("size"))
+    many = entries.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
+    near = members.select(F.col("uid").alias("m")).distinct()
+    words = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "words"))
+    linked = classes(members, words, lambda pairs: verified(pairs, words, least), lambda group: compared(group, least), FIRST)
     grouped = scratch.stored(distinct.join(linked, F.col("uid") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL").select("key", "key2", "head", F.coalesce("component", "uid").alias("component")))
-    heads = scratch.stored(grouped.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays")))
-    known = scratch.stored(grouped.join(heads, F.col("component") == F.col("c")).select("key", "key2", "stays"))
-    gone = table.select("doc_id", "digest", "line", "key", "key2", place.alias("at")).join(known, ["key", "key2"]).filter(~F.col("at").eqNullSafe(F.col("stays")))
-    return scratch.stored(gone.groupBy(F.col("doc_id").alias("own_id"), F.col("digest").alias("own_digest")).agg(F.collect_set("line").alias("gone")))
+    heads = grouped.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays"))
+    known = grouped.join(heads, F.col("component") == F.col("c")).select("key", "key2", "stays")
+    gone = table.select("doc_id", "code", "line", "key", "key2").join(known, ["key", "key2"]).filter(~place.eqNullSafe(F.col("stays")))
+    return scratch.stored(gone.groupBy(F.col("doc_id").alias("own_id"), F.col("code").alias("own_code")).agg(F.collect_set("line").alias("gone")))
 
 
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """row (the document's own columns), text (what stays), n_lines, n_removed.
-
-    Lines end at line feeds; lines of fewer than LEAST_WORDS words, blank ones too, always stay. Null texts stay null and
-    have no lines. Rows with equal doc_id and text are one document and give equal rows. An empty table gives no rows."""
-    own, body = F.col(doc_id), F.col(text).cast("string")
-    digest = F.unhex(F.md5(body.cast("binary")))
-    gone = removals(docs.select(own.alias("doc_id"), body.alias("text"), digest.alias("digest")), least)
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own.alias("own"), digest.alias("hash"), body.alias("text"))
-    joined = keyed.join(gone, F.col("own").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_digest")), "left").select("row", "text", "gone")
+    """row (the document's own columns, with the text that stays), n_lines, n_removed.
+
+    Lines end at line feeds; a line without words, a blank one too, always stays. Null texts stay null and have no lines.
+    Rows with equal doc_id and text are one document and give equal rows; so are rows with equal texts and null ids, which
+    come after all others. Of ties the one with the lesser hash of its text is first. An empty table gives no rows."""
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+    code = F.xxhash64(text)
+    gone = removals(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), code.alias("code")), least)
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"), code.alias("of"))
+    joined = keyed.join(gone, F.col("own").eqNullSafe(F.col("own_id")) & (F.col("of") == F.col("own_code")), "left").select("row", "gone")
+    place = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                fields = part.column(0).flatten()
                 out, count, less = [], [], []
-                for t, g in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    own = t.split("\n") if t is not None else []
-                    count.append(len(own))
+                for t, g in zip(fields[place].to_pylist(), part.column(1).to_pylist(), strict=True):
+                    count.append(t.count("\n") + 1 if t is not None else 0)
                     less.append(len(g or ()))
                     if g:
-                        gone = set(g)
-                        t = "\n".join([x for k, x in enumerate(own) if k not in gone])
+                        drop = set(g)
+                        t = "\n".join([x for k, x in enumerate(t.split("\n")) if k not in drop])
                     out.append(t)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(count, pa.int64()), pa.array(less, pa.int64())], ["row", "text", "n_lines", "n_removed"])
+                fields[place] = pa.array(out, pa.string())
+                row = pa.StructArray.from_arrays(fields, fields=list(part.column(0).type))
+                yield pa.RecordBatch.from_arrays([row, pa.array(count, pa.int64()), pa.array(less, pa.int64())], ["row", "n_lines", "n_removed"])
 
-    return joined.mapInArrow(cut, T.StructType([joined.schema["row"], *T._parse_datatype_string("text string, n_lines long, n_removed long").fields]))
+    return joined.mapInArrow(cut, T.StructType([joined.schema["row"], *T._parse_datatype_string("n_lines long, n_removed long").fields]))
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The documents without repeated lines, with their columns; one from which all words went is dropped. ``length``, if
-    there is such a column, becomes the new text's."""
+    there is such a column, becomes the new text's. Nulls, ties and empty tables are as for ``deduped``."""
     found = deduped(docs, doc_id, text)
-    stays = found.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
-    changed = {text: F.col("text").cast(docs.schema[text].dataType)} | ({length: F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(f"row.{length}")).cast(docs.schema[length].dataType)} if length in docs.columns else {})
-    return stays.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    stays = found.filter((F.col("n_removed") == 0) | own[text].rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    if length in own:
+        own[length] = F.when(F.col("n_removed") > 0, F.length(own[text])).otherwise(own[length])
+    return stays.select(*[own[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -7,35 +7,29 @@ found exactly in two scans: what is frequent somewhere is a candidate, and candi
 
 Each of HASHES samples takes the shingle with the least ln a = ln c - r(t - b) - r, t = floor(ln w / r + b), with r and c
 from Gamma(2, 1) and b uniform; the triples stand in one table and a hash of shingle and sample picks the row, further bits
-break ties. Equal bands of samples make a bucket. No bucket is gathered or paired out: its members are compared with a few
-leaders, those that match none with the next leaders, until none is left; among the next leaders is always the member most
-like a leader so far, which finds the original of copies that resemble it more than each other.
+break ties. Equal bands of samples make a bucket; ``graph.classes`` finds what similar pairs in buckets connect, without loss:
+whatever shares a bucket and is not yet of one class is compared by its weighted Jaccard similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatefold.llm import scratch
-from gatefold.llm.graph import components, links
+from gatefold.llm.graph import apart, classes, common, forest
 from gatefold.llm.words import Words, mix, pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 20 bands of 6 samples; of the bands the first FIRST find most classes, the others what these missed.
-BANDS, ROWS, FIRST = 20, 6, 3
-#: Pairs that agree in a smaller share of samples are not compared in full: five deviations under the similarity sought.
-SLACK = 5
-#: Finer buckets, and samples of each: disjoint, so that a pair of similarity 0.8 misses all 24 in 0.007 %.
-FINER, FINE = 24, 5
-PLACES = [[k + FINER * j for j in range(FINE)] for k in range(FINER)]
-RARE = 256
+#: 20 bands of 6 samples; those that come first.
+BANDS, ROWS, FIRST = 20, 6, 4
+RARE = 64
 SEED, TABLE = 11, 16
 
 _rng = np.random.default_rng(SEED)
@@ -63,22 +57,25 @@ def shingled(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def frequent(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles of at least one document in ``rare``: sorted hashes, document counts; and the number of documents."""
+    """Shingles of more than one document in ``rare``: sorted hashes, document counts; and the number of documents.
+
+    Exact: at most 7/8 of such a shingle's documents can lie in partitions in which fewer than 7/8 of that share hold it, so
+    the others, which report it, hold an eighth; of that a 16th may get lost."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, hashes, counts, held = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        n, before, hashes, counts, held = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         for batch in batches:
-            for part, texts in pieces(batch, "text"):
+            for part, texts in pieces(batch, "text", 1 << 19):
                 n += part.num_rows
                 held.append(shingled(Words(texts))[1])
-                if sum(map(len, held)) > 1 << 21:
+                if sum(map(len, held)) > 1 << 20:
                     hashes, counts = _merged(hashes, counts, held)
                     held = []
-                    if len(hashes) > 1 << 22:  # lossy counting: a shingle that was this rare so far is still under the bound
-                        keep = counts * 8 * rare >= n
-                        hashes, counts = hashes[keep], counts[keep]
+                    if len(hashes) > 1 << 22:  # lossy counting: all that a shingle loses is a 16th of the bound
+                        keep = counts * 16 * rare >= n - before
+                        hashes, counts, before = hashes[keep], counts[keep], n
         hashes, counts = _merged(hashes, counts, held)
-        keep = counts * 4 * rare >= n
+        keep = counts * 16 * rare >= 13 * n
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[keep].view(np.int64), 0)), pa.array(np.append(counts[keep], n)), pa.array(np.append(np.zeros(int(keep.sum()), bool), True))], ["h", "n", "total"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +83,7 @@ def frequent(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray,
         bits = np.zeros(1 << 20, bool)
         bits[(keys >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
-            for _, texts in pieces(batch, "text"):
+            for _, texts in pieces(batch, "text", 1 << 19):
                 h = shingled(Words(texts))[1]
                 h = h[bits[(h >> np.uint64(44)).astype(np.int64)]]
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -96,7 +93,7 @@ def frequent(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray,
 
     found = scratch.stored(docs.select("text").mapInArrow(local, "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n")))
     total = sum(r.n for r in found.filter("total").collect())
-    chosen = found.filter((~F.col("total")) & (F.col("n") * 2 * rare >= total)).select("h").toArrow()
+    chosen = found.filter((~F.col("total")) & (F.col("n") * 16 * rare >= total)).select("h").toArrow()
     keys = np.sort(np.asarray(chosen.column("h")).view(np.uint64))
     scratch.release(found)
     if not len(keys):
@@ -143,11 +140,11 @@ class Sampler:
         self.flat = float(weights(np.zeros(1, np.uint64), np.ones(1), (np.zeros(0, np.uint64), None, known[2]))[0])
         self.drawn = np.bitwise_or(*_draw(np.arange(1 << TABLE), np.full(1 << TABLE, self.flat)))
 
-    def bands(self, doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The texts that have shingles, BANDS keys of each, and a byte of each of its samples."""
+    def bands(self, doc: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts that have shingles, and BANDS keys of each."""
         own, starts = np.unique(doc, return_index=True)
         other = np.flatnonzero(weight != self.flat)
-        keys, marks = np.zeros((len(own), BANDS), np.uint64), np.zeros((len(own), BANDS * ROWS), np.uint8)
+        keys = np.zeros((len(own), BANDS), np.uint64)
         for k in range(BANDS * ROWS):
             turned = h * _TURN[k]
             row = (turned >> np.uint64(64 - TABLE)).view(np.int64)
@@ -159,13 +156,12 @@ class Sampler:
             drawn ^= turned
             least = np.minimum.reduceat(drawn, starts)
             band = k // ROWS
-            marks[:, k] = mix(least & _LOW) & np.uint64(255)
             keys[:, band] = mix(keys[:, band] * np.uint64(0xC2B2AE3D27D4EB4F) + (least & _LOW) + np.uint64(k + 1))
-        return own, keys, marks
+        return own, keys
 
 
 def sketches(docs: DataFrame, known) -> DataFrame:
-    """uid, doc_id, digest, bands, marks, hashes, weights of each row of (doc_id, text). Stored."""
+    """uid, doc_id, digest, bands, size, hashes, weights of each row of (doc_id, text). Stored."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,19 +171,19 @@ def sketches(docs: DataFrame, known) -> DataFrame:
             for part, texts in pieces(batch, "text", 1 << 19):
                 doc, h, tf = shingled(Words(texts))
                 weight = weights(h, tf, shared.value)
-                own, keys, marks = sampler.bands(doc, h, weight)
-                row_bands, row_marks = [[] for _ in texts], [b""] * len(texts)
-                for d, k, m in zip(own.tolist(), keys.view(np.int64).tolist(), marks, strict=True):
-                    row_bands[d], row_marks[d] = k, m.tobytes()
+                own, keys = sampler.bands(doc, h, weight)
+                row_bands: list[list[int]] = [[] for _ in texts]
+                for d, k in zip(own.tolist(), keys.view(np.int64).tolist(), strict=True):
+                    row_bands[d] = k
                 at = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
                 top, light = (h >> np.uint64(32)).astype("<u4").tobytes(), weight.astype("<f4").tobytes()
                 slices = list(zip(at[:-1], at[1:], strict=True))
                 ids = np.arange(uid, uid + len(texts))
                 uid += len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column(0), part.column(2), pa.array(row_bands, pa.list_(pa.int64())), pa.array(row_marks, pa.binary()), pa.array([top[4 * a : 4 * b] for a, b in slices], pa.binary()), pa.array([light[4 * a : 4 * b] for a, b in slices], pa.binary())], ["uid", "doc_id", "digest", "bands", "marks", "hashes", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), part.column(0), part.column(2), pa.array(row_bands, pa.list_(pa.int64())), pa.array([b - a for a, b in slices], pa.int32()), pa.array([top[4 * a : 4 * b] for a, b in slices], pa.binary()), pa.array([light[4 * a : 4 * b] for a, b in slices], pa.binary())], ["uid", "doc_id", "digest", "bands", "size", "hashes", "weights"])
 
     rows = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    schema = T.StructType([T.StructField("uid", T.LongType()), rows.schema["doc_id"], *T._parse_datatype_string("digest binary, bands array<long>, marks binary, hashes binary, weights binary").fields])
+    schema = T.StructType([T.StructField("uid", T.LongType()), rows.schema["doc_id"], *T._parse_datatype_string("digest binary, bands array<long>, size int, hashes binary, weights binary").fields])
     return scratch.stored(rows.mapInArrow(work, schema))
 
 
@@ -209,35 +205,34 @@ def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                a, b, ha, wa, hb, wb = (c.to_pylist() for c in part.columns)
+                ha, wa, hb, wb = (c.to_pylist() for c in part.columns[2:])
                 s = np.array([similarity((p, q), (r, t)) for p, q, r, t in zip(ha, wa, hb, wb, strict=True)])
                 keep = np.flatnonzero(s >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), part.column(1).take(pa.array(keep)), pa.array(s[keep])], ["a", "b", "similarity"])
 
-    enough = least - SLACK * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in batch.columns[2:])
-            keep = pa.array((x == y).mean(1) >= enough)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    marks = pairs.join(table.select(F.col("uid").alias("a"), F.col("marks").alias("ma")), "a").join(table.select(F.col("uid").alias("b"), F.col("marks").alias("mb")), "b")
-    few = scratch.stored(marks.select("a", "b", "ma", "mb").mapInArrow(likely, "a long, b long"))
     first = table.select(F.col("uid").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
     second = table.select(F.col("uid").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    return few.join(first, "a").join(second, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(work, "a long, b long, similarity double")
-
-
-def _finer(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """Parts of large buckets: members (bucket, uid, component) that agree in five more samples."""
-    def split(large: DataFrame) -> DataFrame:
-        def key(k: int) -> Column:
-            return F.xxhash64(F.lit("finer"), F.col("bucket"), F.lit(k), *[F.substr(F.col("marks"), F.lit(p + 1), F.lit(1)) for p in PLACES[k]])
-
-        return large.join(table.select("uid", "marks"), "uid").select("uid", "component", F.explode(F.array(*map(key, range(FINER)))).alias("bucket"))
-
-    return split
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(work, "a long, b long, similarity double")
+
+
+def compared(group: pa.Table, least: float) -> pa.Table:
+    """(uid, component, chunk, hashes, weights) of a group -> links (a, b) that join its components."""
+    uid, component, chunk = (np.asarray(group.column(k)) for k in range(3))
+    asked = apart(component, chunk)
+    pairs: list[tuple[int, int]] = []
+    if asked.any():
+        hashes, weights_ = (group.column(k).to_pylist() for k in (3, 4))
+        owner = np.repeat(np.arange(len(uid)), [len(x) // 4 for x in hashes])
+        h, weight = np.frombuffer(b"".join(hashes), "<u4"), np.frombuffer(b"".join(weights_), "<f4").astype(np.float64)
+        both = common(owner, h, weight, len(uid))
+        own = np.bincount(owner, weight, len(uid))
+        ratio = both / np.maximum(1e-9, own[:, None] + own[None, :] - both)
+        similar = asked & (ratio >= least)
+        for x, y in np.argwhere(asked & (np.abs(ratio - least) < 1e-4)).tolist():  # too near for single precision
+            similar[x, y] = similarity((hashes[x], weights_[x]), (hashes[y], weights_[y])) >= least
+        pairs = forest(similar, component)
+    a, b = ([uid[p[k]] for p in pairs] for k in range(2))
+    return pa.table({"a": pa.array(np.maximum(a, b) if pairs else [], pa.int64()), "b": pa.array(np.minimum(a, b) if pairs else [], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -247,24 +242,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     is kept. Null ids come last. An empty table gives no rows."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     table = sketches(rows, frequent(rows))
-    firsts = scratch.stored(table.groupBy("digest").agg(F.min("uid").alias("first"), F.min_by("bands", "uid").alias("bands")))
-    entries = firsts.select(F.posexplode("bands").alias("band", "bucket"), F.col("first").alias("uid"))
-    many = scratch.stored(entries.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("b"))
-    members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid"))
-    near = scratch.stored(members.groupBy(F.col("uid").alias("m")).agg(F.lit(1).alias("one")).select("m"))
-    small = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "marks", "hashes", "weights"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, small, least)
-
-    early = links(members.filter(F.col("band") < FIRST).select("bucket", "uid"), verify, None, _finer(small))
-    late = links(members.filter(F.col("band") >= FIRST).select("bucket", "uid"), verify, components(early), _finer(small))
-    linked = components(early.union(late))
-    named = scratch.stored(firsts.select(F.col("digest").alias("of"), "first").join(linked, F.col("first") == F.col("node"), "left").select("of", F.coalesce("component", "first").alias("component")))
-    all_rows = scratch.stored(table.select("uid", "doc_id", "digest").join(named, F.col("digest") == F.col("of")).select("uid", "doc_id", "digest", "component"))
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
-    heads = scratch.stored(all_rows.groupBy(F.col("component").alias("c")).agg(F.min(key).alias("head")))
-    return all_rows.join(heads, F.col("component") == F.col("c")).select("uid", "doc_id", "digest", F.col("head.id").alias("class_id"), (F.col("uid") == F.col("head.uid")).alias("keep"))
+    firsts = scratch.stored(table.groupBy(F.col("digest").alias("of")).agg(F.min("uid").alias("first"), F.min_by(F.struct("bands", "size"), "uid").alias("own"), F.min(key).alias("head")))
+    entries = firsts.select(F.posexplode("own.bands").alias("band", "bucket"), F.col("first").alias("uid"), F.col("own.size").alias("size"))
+    many = entries.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
+    near = members.select(F.col("uid").alias("m")).distinct()
+    small = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "hashes", "weights"))
+    linked = classes(members, small, lambda pairs: verified(pairs, small, least), lambda group: compared(group, least), FIRST)
+    named = scratch.stored(firsts.join(linked, F.col("first") == F.col("node"), "left").select("of", "head", F.coalesce("component", "first").alias("component")))
+    heads = named.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays"))
+    of_text = scratch.stored(named.join(heads, F.col("component") == F.col("c")).select("of", "stays"))
+    return table.select("uid", "doc_id", "digest").join(of_text, F.col("digest") == F.col("of")).select("uid", "doc_id", "digest", F.col("stays.id").alias("class_id"), (F.col("uid") == F.col("stays.uid")).alias("keep"))
 
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:

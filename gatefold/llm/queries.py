@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatefold.llm import decontamination, linededup, media, minhash, packing, quality, sharding, toxicity, urls, warc
+from gatefold.llm import decontamination, linededup, media, minhash, packing, quality, scratch, sharding, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    scratch.lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -20,7 +21,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.deduped(_table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_lines", "n_removed")
+    return linededup.deduped(_table(spark, sf_dir, "documents")).select("row.doc_id", "row.text", "n_lines", "n_removed")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,9 +34,20 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes of an Arrow batch, where the session says nothing else: Python workers then hold little, however long rows are.
+BATCH = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll and spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends here, and lost executors cost no recomputation."""
     spark, path = df.sparkSession, new_path(df.sparkSession)
+    lean(spark)
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch_path = path

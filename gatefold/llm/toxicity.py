@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatefold.llm import scratch
 from gatefold.llm.labelled import adam, held_out, sample, sigmoid
 from gatefold.llm.words import Words, mix, pieces
 
@@ -133,7 +134,10 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, most_words: int = MOST_WORDS) -> Model:
-    """Fits on at most ``most`` labelled documents; whole texts, as their distinct words and counts."""
+    """Fits on at most ``most`` labelled documents; whole texts, as their distinct words and counts.
+
+    Of those, in the order of a hash of their texts, the first that have ``most_words`` distinct words together teach; a
+    longer one is left out and the next are tried, so that the driver gets bounded bytes whatever the documents are like."""
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,11 +151,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["doc_id", "label", "words", "counts", "n"])
 
     rows = sample(docs, labels, label, most)
-    bags = rows.mapInArrow(bag, T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), *T._parse_datatype_string("words binary, counts binary, n long").fields]))
-    table = bags.toArrow().to_pylist()
-    table.sort(key=lambda r: (r["n"], r["words"], r["label"]))
-    while sum(r["n"] for r in table) > most_words:  # the longest documents do not teach
-        table.pop()
+    bags = scratch.stored(rows.mapInArrow(bag, T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), *T._parse_datatype_string("words binary, counts binary, n long").fields])).withColumn("turn", F.xxhash64("words", "counts", "label")))
+    room, chosen = most_words, []
+    for r in bags.select("turn", "n", "label").orderBy("turn", "n", "label").limit(most).collect():
+        if r.n <= room:
+            room -= r.n
+            chosen.append((r.turn, r.n, r.label))
+    picked = bags.sparkSession.createDataFrame(sorted(set(chosen)) or [(0, -1, 0)], "turn long, n long, label int")
+    table = bags.join(F.broadcast(picked), ["turn", "n", "label"], "left_semi").orderBy("turn", "n", "label").limit(len(chosen)).select("label", "words", "counts", "n").toArrow().to_pylist()
+    scratch.release(bags)
     texts = [b" ".join(w for w, n in zip(r["words"].split(b" "), np.frombuffer(r["counts"], np.int32).tolist(), strict=False) for _ in range(n)) for r in table]
     return train(texts, np.array([r["label"] for r in table], np.int64)) if table else Model(np.zeros(BUCKETS), 0.0)
 
@@ -166,7 +174,7 @@ def scored(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", c
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, "text", 1 << 20):
+            for part, texts in pieces(batch, "text", 1 << 19):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared.value.score(texts), pa.float64())], ["doc_id", "held_out", "score"])
 
     out = rows.mapInArrow(work, T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())]))
@@ -174,14 +182,17 @@ def scored(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", c
 
 
 def accepted(docs: DataFrame, model, text: str = "text", cut: float = CUT, above: bool = False) -> DataFrame:
-    """The documents that score under ``cut`` (above: at least ``cut``), with their columns."""
+    """The documents that score under ``cut`` (above: at least ``cut``), with their columns, whatever these are called.
+
+    Null and empty texts have the model's bias as their score; equal texts stay or go together; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+    names = [f"c{k}" for k in range(len(docs.columns))]  # names may clash but in case
+    place = names[docs.columns.index(text)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, "text", 1 << 20):
-                keep = (shared.value.score(texts) >= cut) == above
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep))], ["row"])
+            for part, texts in pieces(batch, place, 1 << 19):
+                yield part.filter(pa.array((shared.value.score(texts) >= cut) == above))
 
-    return rows.mapInArrow(work, T.StructType([rows.schema["row"]])).select("row.*")
+    rows = docs.toDF(*names)
+    return rows.mapInArrow(work, rows.schema).toDF(*docs.columns)

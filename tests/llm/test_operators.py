@@ -73,7 +73,7 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    texts = [*texts, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext", " <|endoftext|>  two  blanks\n"]
     got = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
     for d, t in enumerate(texts):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
