@@ -62,6 +62,19 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROWS, SCHEMA)
 
 
+#: How a viewer shows each kind: glyph, foreground, background. Control tokens are shown as air.
+DISPLAY = (
+    ("air", " ", "#3A424C", "#12161B"), ("solid", " ", "#8894A2", "#39424E"), ("wire", "·", "#F0392C", "#5A1A17"), ("torch", "◆", "#F0392C", "#40130F"),
+    ("repeater", "▶", "#5FB3C4", "#2C333C"), ("comparator", "◆", "#E0A82E", "#2C333C"), ("lever", "⌐", "#DDE4EB", "#2C333C"), ("lamp", "◍", "#221A05", "#F5C542"),
+    ("target", "◎", "#A9B4C0", "#3A3040"), ("observer", "◇", "#77828F", "#2A313A"),
+)
+
+
+def display(spark: SparkSession) -> DataFrame:
+    """shown (a kind), display_glyph, foreground, background."""
+    return spark.createDataFrame(list(DISPLAY), "shown string, display_glyph string, foreground string, background string")
+
+
 def lookup(column: str, token: Column) -> Column:
     """A property of a token inside higher-order functions, where a join can't run: a literal array by token."""
     k = [c.split()[0] for c in SCHEMA.split(", ")].index(column)
