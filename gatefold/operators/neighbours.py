@@ -25,8 +25,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, block: list[str], bits: str,
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def sign_bits(vector: str, n: int = 62) -> Column:
-    """A long with a bit for each of the first n numbers that is positive."""
+def sign_bits(vector: str, n: int = 64) -> Column:
+    """A long with a bit for each of n numbers, 64 at most, that is positive."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(F.get(F.col(vector), i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
 
 

@@ -190,7 +190,7 @@ def b_class_weights(t):
     return metrics.class_weights(t("events").select("event_type"), "event_type")
 
 
-_SIGNS = "list_sum(list_transform(generate_series(0, 61), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT"
+_SIGNS = "list_sum(list_transform(generate_series(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << i::UBIGINT) ELSE 0::UBIGINT END))::UBIGINT"
 
 
 @query(f"""
@@ -334,7 +334,7 @@ def b_transcript(t):
 
 @query("SELECT r_name, lpad(count(*)::VARCHAR, 6, ' ') AS cell, repeat('-', length(r_name)) AS rule FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
 def b_table_text(t):
-    per = t("nation").join(F.broadcast(t("region").limit(1000)), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
+    per = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
     return per.select("r_name", F.lpad(F.col("n").cast("string"), 6, " ").alias("cell"), F.repeat(F.lit("-"), F.length("r_name")).alias("rule"))
 
 
