@@ -1,10 +1,11 @@
 """Classes of similar members of buckets, and connected components of links; both held in tables.
 
 The first bands' buckets come first; they join most copies, and a bucket whose members are then of one class is done, as no
-further link could change a class. Buckets of more than a chunk are first compared with a leader, another one in each of
-STARS rounds: that joins copies, however many, in as many comparisons. What is left is dealt into chunks of bounded size,
-and each two chunks of a bucket are one group, in which arrays compare all members of different classes at once and only
-links that join classes leave the task. So no link is lost, no task holds more than two chunks, and no pairs are emitted.
+further link could change a class. Members of large buckets are first compared with a leader, another one in each of STARS
+rounds: that joins copies, however many, in as many comparisons. What is left is dealt into chunks of bounded size, and each
+two chunks of a bucket are one group; small buckets share a group. In a group arrays compare all members of different
+classes at once, and only links that join classes leave the task. So no link is lost, no task holds more than two chunks,
+and no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -19,31 +20,31 @@ from pyspark.sql import functions as F
 
 from gatefold.llm import scratch
 
-#: Rounds with leaders.
-STARS = 2
-#: Members and units of size of a chunk, about.
-CHUNK, CHUNK_SIZE = 256, 1 << 18
+#: Rounds with leaders, and members from which a bucket has them.
+STARS, LARGE = 2, 1024
+#: Members and units of size of a chunk, about; members of a group of small buckets, about.
+CHUNK, CHUNK_SIZE, PACK = 256, 1 << 18, 64
 #: Columns of a block of the matrix product that compares a group.
 WIDTH = 4096
 
 
-def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE) -> DataFrame:
+def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE, large: int = LARGE) -> DataFrame:
     """(node, component) of all members (band, bucket, uid, size, n of the bucket) that similar pairs within buckets connect. Stored.
 
     ``first``: bands that come first. ``verified`` (a, b) -> those pairs that are similar. ``joined``: Arrow function of a
-    group with the columns of ``payload`` (uid, ...) behind uid, component and chunk; it returns links (a, b) between members
-    of different components."""
+    group with the columns of ``payload`` (uid, ...) behind bucket, uid, component and chunk; it returns links (a, b) between
+    members of one bucket and different components."""
     found: list[DataFrame] = []
     labels: DataFrame | None = None
     carried = [c for c in payload.columns if c != "uid"]
 
     def group(table: pa.Table) -> pa.Table:
-        return joined(table.select(["uid", "component", "chunk", *carried]))
+        return joined(table.select(["bucket", "uid", "component", "chunk", *carried]))
 
     for part in (members.filter(F.col("band") < first), members.filter(F.col("band") >= first)):
-        large = part.filter(F.col("n") > chunk)
-        for k in range(STARS if large.limit(1).count() else 0):
-            own = named(large, labels)
+        crowds = part.filter(F.col("n") > large)
+        for k in range(STARS if crowds.limit(1).count() else 0):
+            own = named(crowds, labels)
             lead = own.groupBy(F.col("bucket").alias("b")).agg(F.min_by(F.struct("uid", "component"), F.xxhash64("bucket", "uid", F.lit(k))).alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"))
             asked = own.join(lead.filter("low <> high").select("b", "lead"), F.col("bucket") == F.col("b")).filter("component <> lead.component")
             pairs = asked.select(F.greatest("uid", "lead.uid").alias("a"), F.least("uid", "lead.uid").alias("b")).distinct()
@@ -51,12 +52,16 @@ def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFram
             labels = components(reduce(DataFrame.union, found))
         own = scratch.stored(named(part, labels))
         sizes = own.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
-        mixed = sizes.filter("low <> high").select("b", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("total") / chunk_size)).cast("int").alias("chunks"))
-        rows = own.join(mixed, F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "chunks", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"))
+        mixed = scratch.stored(sizes.filter("low <> high").select("b", "n", "total", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("total") / chunk_size)).cast("int").alias("chunks")))
+        few = mixed.filter("chunks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
+        packs = max(1, few.n // PACK, few.total // chunk_size)
+        rows = own.join(mixed.select("b", "chunks"), F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "chunks", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"))
         shipped = rows.join(payload.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of")).drop("of")
-        spread = shipped.select("bucket", "uid", "component", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"), *carried)
-        groups = spread.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "uid", "component", "chunk", *carried)
-        found.append(scratch.stored(groups.groupBy("bucket", "i", "j").applyInArrow(group, "a long, b long")))
+        spread = shipped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        pack = F.when(F.col("chunks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(packs)))
+        groups = spread.select(pack.alias("pack"), F.when(F.col("chunks") > 1, F.least("chunk", "other")).otherwise(-1).alias("i"), F.greatest("chunk", "other").alias("j"), "bucket", "uid", "component", "chunk", *carried)
+        found.append(scratch.stored(groups.groupBy("pack", "i", "j").applyInArrow(group, "a long, b long")))
+        scratch.release(own, mixed)
         labels = components(reduce(DataFrame.union, found))
     return labels
 
@@ -102,9 +107,9 @@ def common(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.n
     return total
 
 
-def apart(component: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    """Which members of a group are to be compared: those of different components and, if it has two chunks, chunks."""
-    out = component[:, None] != component[None, :]
+def apart(bucket: np.ndarray, component: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Which members of a group are to be compared: those of one bucket, different components and, if it has two chunks, chunks."""
+    out = (component[:, None] != component[None, :]) & (bucket[:, None] == bucket[None, :])
     return out & (chunk[:, None] != chunk[None, :]) if len(chunk) and chunk.min() != chunk.max() else out
 
 

@@ -205,14 +205,14 @@ def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
 
 
 def compared(group: pa.Table, least: float) -> pa.Table:
-    """(uid, component, chunk, words) of a group -> links (a, b) that join its components."""
-    uid, component, chunk = (np.asarray(group.column(k)) for k in range(3))
+    """(bucket, uid, component, chunk, words) of a group -> links (a, b) that join its components."""
+    bucket, uid, component, chunk = (np.asarray(group.column(k)) for k in range(4))
     pairs: list[tuple[int, int]] = []
-    words = [np.frombuffer(x, "<u4") for x in group.column(3).to_pylist()]
+    words = [np.frombuffer(x, "<u4") for x in group.column(4).to_pylist()]
     size = np.array([len(x) for x in words])
     longer = np.maximum(size[:, None], size[None, :])
     most = allowed(longer, least)
-    likely = apart(component, chunk) & (np.abs(size[:, None] - size[None, :]) <= most)
+    likely = apart(bucket, component, chunk) & (np.abs(size[:, None] - size[None, :]) <= most)
     if likely.any():
         owner, word = counted(np.repeat(np.arange(len(words)), size), np.concatenate(words))
         likely &= common(owner, word, np.ones(len(word)), len(words)) > longer - most - 0.5
@@ -251,7 +251,9 @@ def removals(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     heads = grouped.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays"))
     known = grouped.join(heads, F.col("component") == F.col("c")).select("key", "key2", "stays")
     gone = table.select("doc_id", "code", "line", "key", "key2").join(known, ["key", "key2"]).filter(~place.eqNullSafe(F.col("stays")))
-    return scratch.stored(gone.groupBy(F.col("doc_id").alias("own_id"), F.col("code").alias("own_code")).agg(F.collect_set("line").alias("gone")))
+    out = scratch.stored(gone.groupBy(F.col("doc_id").alias("own_id"), F.col("code").alias("own_code")).agg(F.collect_set("line").alias("gone")))
+    scratch.release(table, distinct, members, words, linked, grouped)
+    return out
 
 
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:

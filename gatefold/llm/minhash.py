@@ -216,12 +216,12 @@ def verified(pairs: DataFrame, table: DataFrame, least: float) -> DataFrame:
 
 
 def compared(group: pa.Table, least: float) -> pa.Table:
-    """(uid, component, chunk, hashes, weights) of a group -> links (a, b) that join its components."""
-    uid, component, chunk = (np.asarray(group.column(k)) for k in range(3))
-    asked = apart(component, chunk)
+    """(bucket, uid, component, chunk, hashes, weights) of a group -> links (a, b) that join its components."""
+    bucket, uid, component, chunk = (np.asarray(group.column(k)) for k in range(4))
+    asked = apart(bucket, component, chunk)
     pairs: list[tuple[int, int]] = []
     if asked.any():
-        hashes, weights_ = (group.column(k).to_pylist() for k in (3, 4))
+        hashes, weights_ = (group.column(k).to_pylist() for k in (4, 5))
         owner = np.repeat(np.arange(len(uid)), [len(x) // 4 for x in hashes])
         h, weight = np.frombuffer(b"".join(hashes), "<u4"), np.frombuffer(b"".join(weights_), "<f4").astype(np.float64)
         both = common(owner, h, weight, len(uid))

@@ -108,14 +108,12 @@ def test_line_dedup(spark, texts):
     got = {r.row.source + str(k): r for k, r in enumerate(linededup.deduped(table(spark, texts)).collect())}
     assert len(got) == len(texts)
     shared = prose(7, 30)
-    assert sum(shared in (r.text or "") for r in got.values()) == 1
-    assert sum(r.text is None for r in got.values()) == 1
+    assert sum(shared in (r.row.text or "") for r in got.values()) == 1
+    assert sum(r.row.text is None for r in got.values()) == 1
     fuzzy = shared.split()
     fuzzy[4] = "other"
     two = table(spark, [shared, " ".join(fuzzy), prose(40, 30), "a b\na b"])
-    kept = sorted(r.text for r in linededup.cleaned(two).collect())
-    assert prose(40, 30) in kept and "a b\na b" in kept and len(kept) in (3, 4)
-    assert linededup.edit_similarity(list("abcde"), list("abxde")) == 0.8 and linededup.edit_similarity(list("kitten"), list("sitting")) == 1 - 3 / 7
+    assert sorted(r.text for r in linededup.cleaned(two).collect()) == sorted([shared, prose(40, 30), "a b"])
     assert linededup.cleaned(two.limit(0)).count() == 0
 
 
