@@ -55,6 +55,7 @@ class DigestList:
         body = np.memmap(path, np.uint64, "r", 32, (3 * n + m,)) if n else np.zeros(0, np.uint64)
         self.keys, self.ends, self.block = body[:n], body[n : 2 * n], body[2 * n : 3 * n]
         self.lengths = [int(x) for x in body[3 * n :]]
+        self.longest = int(np.diff(self.ends, prepend=np.uint64(0)).max()) if n else 0
         self.text = np.memmap(path, np.uint8, "r", 32 + 8 * (3 * n + m), (size,)) if size else np.zeros(0, np.uint8)
 
     def probe(self, candidates: list[bytes]) -> np.ndarray:
@@ -79,9 +80,13 @@ class DigestList:
         for i, (h, p) in enumerate(zip(host, path, strict=True)):
             if not h or not p:
                 continue
-            labels, p = h.encode().split(b"."), p.encode()
-            for k in range(len(labels)):
-                suffix = b".".join(labels[k:])
+            own, p = h.encode(), p.encode()
+            at = len(own) + 1
+            while at > 0:  # the host's last labels, one more each time, as far as a rule reaches
+                at = own.rfind(b".", 0, at - 1) + 1
+                suffix = own[at:]
+                if len(suffix) > self.longest:
+                    break
                 for n in self.lengths:
                     if n <= len(p):
                         of.append(i)

@@ -180,6 +180,12 @@ def test_urls(spark):
     }
 
 
+def test_hosts_of_many_labels(tmp_path):
+    (tmp_path / "r").write_bytes(urls.pack(urls.RULES))
+    rules, long = urls.DigestList(str(tmp_path / "r")), "a." * 100_000
+    assert rules.judge([long + "net", long + "example.net", long, "net.", "org", ".net"], ["/", "/en/", "/", "/", "/fr/", "/"]) == [("net/", "block"), ("example.net/en/", "allow"), None, None, ("org/fr/", "allow"), ("net/", "block")]
+
+
 def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda b: len(b) % 2)
     (tmp_path / "r").write_bytes(urls.pack(urls.RULES))
