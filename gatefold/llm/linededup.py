@@ -246,13 +246,17 @@ def removals(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
     near = members.select(F.col("uid").alias("m")).distinct()
     words = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "words"))
+    places = scratch.stored(table.select("doc_id", "code", "line", "key", "key2"))
+    known = scratch.stored(distinct.select("key", "key2", "uid", "head", "n"))
+    scratch.release(table, distinct)  # the words and bands of lines that resemble no other
     linked = classes(members, words, lambda pairs: verified(pairs, words, least), lambda group: compared(group, least), FIRST)
-    grouped = scratch.stored(distinct.join(linked, F.col("uid") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL").select("key", "key2", "head", F.coalesce("component", "uid").alias("component")))
+    scratch.release(members, words)
+    grouped = scratch.stored(known.join(linked, F.col("uid") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL").select("key", "key2", "head", F.coalesce("component", "uid").alias("component")))
     heads = grouped.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays"))
-    known = grouped.join(heads, F.col("component") == F.col("c")).select("key", "key2", "stays")
-    gone = table.select("doc_id", "code", "line", "key", "key2").join(known, ["key", "key2"]).filter(~place.eqNullSafe(F.col("stays")))
+    stay = grouped.join(heads, F.col("component") == F.col("c")).select("key", "key2", "stays")
+    gone = places.join(stay, ["key", "key2"]).filter(~place.eqNullSafe(F.col("stays")))
     out = scratch.stored(gone.groupBy(F.col("doc_id").alias("own_id"), F.col("code").alias("own_code")).agg(F.collect_set("line").alias("gone")))
-    scratch.release(table, distinct, members, words, linked, grouped)
+    scratch.release(places, known, linked, grouped)
     return out
 
 

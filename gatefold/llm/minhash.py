@@ -249,11 +249,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
     near = members.select(F.col("uid").alias("m")).distinct()
     small = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "hashes", "weights"))
+    ids = scratch.stored(table.select("uid", "doc_id", "digest"))
+    scratch.release(table)  # the shingles of texts that resemble no other
     linked = classes(members, small, lambda pairs: verified(pairs, small, least), lambda group: compared(group, least), FIRST)
     named = scratch.stored(firsts.join(linked, F.col("first") == F.col("node"), "left").select("of", "head", F.coalesce("component", "first").alias("component")))
     heads = named.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays"))
     of_text = scratch.stored(named.join(heads, F.col("component") == F.col("c")).select("of", "stays"))
-    return table.select("uid", "doc_id", "digest").join(of_text, F.col("digest") == F.col("of")).select("uid", "doc_id", "digest", F.col("stays.id").alias("class_id"), (F.col("uid") == F.col("stays.uid")).alias("keep"))
+    scratch.release(firsts, members, small, linked, named)
+    return ids.join(of_text, F.col("digest") == F.col("of")).select("uid", "doc_id", "digest", F.col("stays.id").alias("class_id"), (F.col("uid") == F.col("stays.uid")).alias("keep"))
 
 
 def kept(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:

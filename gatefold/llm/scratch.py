@@ -37,6 +37,9 @@ def new_path(spark: SparkSession) -> str:
 #: Bytes of an Arrow batch, where the session says nothing else: Python workers then hold little, however long rows are.
 BATCH = 4 << 20
 
+#: The session's setting by which Spark removes an execution's shuffle files at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def lean(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -48,7 +51,12 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: lineage ends here, and lost executors cost no recomputation."""
     spark, path = df.sparkSession, new_path(df.sparkSession)
     lean(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(TIDY)
+    spark.conf.set(TIDY, "true")  # nothing executes this plan again, so its shuffle files go with it
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.scratch_path = path
     return back
