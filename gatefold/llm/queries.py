@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatefold.llm import decontamination, linededup, media, minhash, packing, quality, scratch, sharding, toxicity, urls, warc
+from gatefold.llm import decontamination, divergence, langid, linededup, media, minhash, packing, quality, ranking, scratch, sharding, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_sharding, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_minhash, op10_media)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_line_dedup, op4_sharding, op5_toxicity, op6_quality, op7_url_filter, op8_warc, op9_minhash, op10_media, op11_ranked_search, op12_source_divergence, op13_language_id)}
 
 _RULES = "(VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS r(rule, rule_host, rule_path, verdict)"
 
+#: A text with A-Z alone lower-cased, and the signs between the words of the ranked search and of the audit.
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD, _LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLE_SQL = {
     "op7_url_filter": f"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -70,4 +87,32 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body) AS n, sha256(body) AS digest FROM p),
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
+    "op11_ranked_search": f"""
+WITH words AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
+docs AS (SELECT d, doc_id, w, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS ll FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOW}, '{_WORD}')) AS term FROM benchmark),
+flat AS (SELECT d, unnest(w) AS term FROM docs),
+tf AS (SELECT d, term, count(*)::BIGINT AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+parts AS (SELECT d, term, weights.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // ll))) AS part FROM tf JOIN weights USING (term) JOIN docs USING (d), total),
+scores AS (SELECT item_id, d, sum(part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0),
+ranks AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores JOIN docs USING (d))
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10""",
+    "op12_source_divergence": f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d, coalesce(text, '') AS text FROM documents),
+flat AS (SELECT lang, source, d, unnest(regexp_extract_all({_LOW}, '{_LETTERS}')) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::BIGINT AS n FROM flat GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, count(*)::BIGINT AS n FROM flat SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT g.lang, count(k.term)::BIGINT AS v, coalesce(sum(k.n), 0)::BIGINT AS n FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k USING (lang) GROUP BY g.lang),
+t AS (SELECT g.lang, g.source, coalesce(sum(o.n), 0)::BIGINT AS n FROM groups g LEFT JOIN own o USING (lang, source) GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(o.n, 0) AS n, 1 + (1000000000 * (coalesce(o.n, 0) + 1)) // (t.n + v.v) AS p, 1 + (1000000000 * (k.n + 1)) // (v.n + v.v) AS q
+  FROM t JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = t.lang AND o.source = t.source AND o.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (FROM every UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranks WHERE part = 'pair' OR rank <= 200""",
 }

@@ -12,6 +12,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+_IS_LETTER = _IS_WORD.copy()
+_IS_LETTER[48:58] = False
 #: 0 white space and controls, 1 signs, 2 letters and digits.
 _KIND = np.where(_IS_WORD, 2, np.where((np.arange(256) <= 32) | (np.arange(256) == 127), 0, 1)).astype(np.uint8)
 #: Odd multipliers of the hashes.
@@ -40,12 +42,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 class Words:
     """``bounds[d]:bounds[d+1]`` are the words of text d; ``starts``, ``ends`` are byte positions in ``low``. symbols:
-    letters keep their case, and runs of signs are words too."""
+    letters keep their case, and runs of signs are words too. digits: they are parts of words."""
 
-    def __init__(self, texts: list[bytes], hashed: bool = True, symbols: bool = False):
+    def __init__(self, texts: list[bytes], hashed: bool = True, symbols: bool = False, digits: bool = True):
         buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         self.low = buf if symbols else _LOWER[buf]
-        mask = _KIND[buf] if symbols else _IS_WORD[buf]
+        mask = _KIND[buf] if symbols else (_IS_WORD if digits else _IS_LETTER)[buf]
         edge = np.flatnonzero(mask[1:] != mask[:-1]) + 1
         if symbols:
             edge = np.concatenate(([0], edge, [len(buf)]))
