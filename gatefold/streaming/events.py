@@ -1,10 +1,7 @@
-"""Structured Streaming over event tables: tumbling and session windows, bounded-state de-duplication, first sightings."""
+"""Structured Streaming over event tables: tumbling and session windows, bounded-state de-duplication."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,13 +23,3 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
 def deduplicated(events: DataFrame, keys: list[str], late: str = "1 day") -> DataFrame:
     """The first row of each key within the watermark, so that state is dropped as time goes on."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys).select(*keys, "event_id")
-
-
-def run_available(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there now and returns its result table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    state = f"{folder}/{name}" if folder else tempfile.mkdtemp(prefix="gatefold-stream-")
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
