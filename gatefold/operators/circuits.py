@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatefold.operators.observed import written
+from gatefold.operators.scan import numbered
 from gatefold.plans.rounds import cut
+from gatefold.sources import shared
 
 
 def fan_out(drivers: DataFrame) -> DataFrame:
@@ -25,18 +28,47 @@ def shared_nets(drivers: DataFrame) -> DataFrame:
     return sets.join(heads, "drivers").select("net", "stands_for")
 
 
+#: Peeled nodes of a round, as counted, that are sent to the edges; more are met by a shuffle.
+FEW = 500_000
+
+
+class Cyclic(ValueError):
+    """A graph of which some nodes are left when no more can be peeled off."""
+
+
 def depth(edges: DataFrame) -> DataFrame:
-    """(source, target) of an acyclic graph -> node, the longest chain that ends there.
-
-    Frontiers move one edge a round; the rounds are as many as the graph is deep, each one join."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("gatefold_edges")
-    return spark.sql("""
-        WITH RECURSIVE chain(node, depth) AS (
-          SELECT DISTINCT source, 0 FROM gatefold_edges WHERE source NOT IN (SELECT target FROM gatefold_edges)
-          UNION ALL
-          SELECT e.target, c.depth + 1 FROM chain c JOIN gatefold_edges e ON e.source = c.node)
-        SELECT node, max(depth) AS depth FROM chain GROUP BY node""")
+    """(source, target) of an acyclic graph -> node, depth: the edges of the longest chain that ends there.
+
+    Nodes are peeled off in rounds, as many as the graph is deep. A round joins the nodes that nothing left points at with
+    their edges, takes those off the targets' in-degrees and raises their depths; each edge is followed once, in whatever
+    number of chains it is. A round is one job: what it leaves is written, and counted as it is written. Edges that are done
+    with are dropped whenever half of them are.
+
+    Repeated edges count once; edges with a null end are left out; a cycle raises Cyclic."""
+    path = shared.new_path(edges.sparkSession)
+    read = edges.sparkSession.read
+    own = shared.stored(edges.filter("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct())
+    state = own.select(F.col("target").alias("node"), F.lit(1).cast("long").alias("n")).union(own.select("source", F.lit(0).cast("long"))).groupBy("node").agg(F.sum("n").alias("waits"), F.lit(0).alias("depth"))
+    shape, metrics = state.schema, {"free": F.count_if(F.col("waits") == 0), "left": F.count_if(F.col("waits") > 0), "edges": F.coalesce(F.sum("waits"), F.lit(0))}
+    got = written(state, f"{path}/round=0", metrics)
+    number, held = 0, got["edges"]
+    while got["left"]:
+        if not got["free"]:
+            raise Cyclic(f"{got['left']} nodes are on cycles or behind them")
+        before = read.schema(shape).parquet(f"{path}/round={number}")
+        if got["edges"] < held / 2:
+            own, held = shared.stored(own.join(before.select(F.col("node").alias("source")), "source", "left_semi")), got["edges"]
+        free = before.filter("waits = 0").select(F.col("node").alias("source"), "depth")
+        reached = own.join(F.broadcast(free) if got["free"] <= FEW else free, "source").groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.max("depth").alias("_d"))
+        after = before.filter("waits > 0").join(reached, F.col("node") == F.col("target"), "left").select("node", (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits"), F.greatest("depth", F.col("_d") + 1).alias("depth"))
+        number += 1
+        got = written(after, f"{path}/round={number}", metrics)
+    return read.schema(shape).option("basePath", path).parquet(path).filter("waits = 0").select("node", "depth")
+
+
+def topological(edges: DataFrame) -> DataFrame:
+    """node, depth, place: an order in which every edge leads forwards, by depth, then node; places from 1."""
+    return numbered(depth(edges), ["depth", "node"])
 
 
 def dust_strength(links: DataFrame, seeds: DataFrame, steps: int = 15) -> DataFrame:

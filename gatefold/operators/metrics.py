@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatefold.operators.scan import scanned
+
 
 def pass_at_k(df: DataFrame, group: str, order: list[str], passed: Column, ks: tuple[int, ...] = (1, 8, 64)) -> DataFrame:
     """One row: the share of groups with a pass among their first k rows."""
@@ -62,13 +64,11 @@ def class_weights(df: DataFrame, target: str, most: float = 10.0) -> DataFrame:
     return per.select(target, "n", F.round(F.least(F.lit(most), F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n"))), 6).alias("weight"))
 
 
-def skyline(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b) pairs that no other pair equals or beats in both. The least b of each a, kept where it is under that of every
-    smaller a: an aggregate and a running minimum in place of a quadratic anti-join. The aggregate has one row for each
-    distinct a, and the running minimum is taken over those alone."""
-    per = df.groupBy(a).agg(F.min(b).alias(b))
-    before = Window.orderBy(a).rowsBetween(Window.unboundedPreceding, -1)
-    return per.withColumn("_before", F.min(b).over(before)).filter(F.col("_before").isNull() | (F.col(b) < F.col("_before"))).drop("_before")
+def skyline(df: DataFrame, a: str, b: str, parts: int | None = None) -> DataFrame:
+    """(a, b) pairs, numbers, that no other pair equals or beats in both. The least b of each a, kept where it is under that of
+    every smaller a: an aggregate and a running minimum in place of a quadratic anti-join. Null numbers are never in it."""
+    per = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a).agg(F.min(b).alias(b))
+    return scanned(per, [a], b, "min", "_before", "_least", parts).filter(F.col("_before").isNull() | (F.col(b) < F.col("_before"))).select(a, b)
 
 
 def collapse(rounds: DataFrame, order: str, score: str, variety: str, fresh: str, unstable: str) -> DataFrame:

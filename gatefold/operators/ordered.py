@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatefold.operators.scan import scanned
+
 
 def seconds(ts: str | Column) -> Column:
     """Whole seconds of a timestamp, with or without a zone."""
@@ -98,3 +100,22 @@ def within(left: DataFrame, right: DataFrame, key: str, ts: str, ident: str, spa
     b = right.select(F.col(key).alias("_k"), F.col(ts).alias("_u"), F.col(ident).alias("b"), bucket(ts).alias("_b"))
     near = (F.col("_u") > F.col("_t")) & (F.col("_u") <= F.col("_t") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(span)))
     return a.join(b, ["_k", "_b"]).filter(near & (F.col("a") != F.col("b"))).select("a", "b")
+
+
+def recurrence(df: DataFrame, key: str, order: list[str], component: str, value: str, parts: int | None = None) -> DataFrame:
+    """Of each key the first row after which its whole state is one it had been in before: key, place and since (rows of the
+    key up to the two, from 1), period.
+
+    A row sets one component of its key's state to a value. The state's fingerprint is the exclusive or of a hash of each
+    component with its value, so a row changes it by two hashes, and all fingerprints are one running aggregate; it is
+    scanned over ranges of (key, order), so that a key of any size is shared out. States of equal 64-bit fingerprints are
+    taken as equal. A null value or component is one like others; keys whose state never comes back have no row."""
+    was = Window.partitionBy(key, component).orderBy(*order)
+    first = F.row_number().over(was) == 1
+    now = F.xxhash64(component, F.col(value).isNull(), value)
+    changed = df.withColumn("_now", now).withColumn("_delta", F.when(first, F.col("_now")).otherwise(F.col("_now").bitwiseXOR(F.lag("_now").over(was)))).withColumn("_one", F.lit(1))
+    marked = scanned(scanned(changed.select(key, *order, "_delta", "_one"), [key, *order], "_delta", "xor", "_x0", "_x", parts), [key, *order], "_one", "sum", "_n0", "_n", parts)
+    base = marked.groupBy(key).agg(F.min_by(F.struct(F.coalesce("_x0", F.lit(0)).alias("x"), F.coalesce("_n0", F.lit(0)).alias("n")), "_n").alias("_base")).withColumnRenamed(key, "_key")
+    states = marked.join(base, F.col(key).eqNullSafe(F.col("_key"))).select(key, F.col("_x").bitwiseXOR(F.col("_base.x")).alias("_state"), (F.col("_n") - F.col("_base.n")).alias("place"))
+    again = states.withColumn("since", F.lag("place").over(Window.partitionBy(key, "_state").orderBy("place"))).filter("since IS NOT NULL")
+    return again.groupBy(key).agg(F.min_by(F.struct("place", "since"), "place").alias("_r")).select(key, "_r.place", "_r.since", (F.col("_r.place") - F.col("_r.since")).alias("period"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatefold.functions import phrases
-from gatefold.operators import circuits, corpus, kernels, metrics, neighbours, ordered
+from gatefold.operators import circuits, corpus, kernels, metrics, neighbours, ordered, sampling, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -455,3 +455,50 @@ SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def b_components(t):
     edges = t("part").filter("p_size % 3 <> 0").select(F.col("p_size").alias("a"), (F.col("p_size") + 7).alias("b")).distinct()
     return circuits.connected(edges)
+
+
+_CHAIN = "SELECT DISTINCT least(l_partkey, n) AS source, greatest(l_partkey, n) AS target FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <> l_partkey"
+
+
+@query(f"""
+WITH RECURSIVE e AS ({_CHAIN}), r(node, depth) AS (SELECT source, 0 FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT target, depth + 1 FROM r JOIN e ON source = node)
+SELECT node, max(depth) AS depth, row_number() OVER (ORDER BY max(depth), node) AS place FROM r GROUP BY node""")
+def b_part_order(t):
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = t("lineitem").select("l_partkey", following.alias("n")).filter("n <> l_partkey")
+    return circuits.topological(pairs.select(F.least("l_partkey", "n").alias("source"), F.greatest("l_partkey", "n").alias("target")))
+
+
+@query("""
+WITH p AS (SELECT l_extendedprice, min(date_diff('day', DATE '1970-01-01', l_shipdate::DATE)) AS day FROM lineitem GROUP BY 1)
+SELECT l_extendedprice, day FROM (SELECT *, min(day) OVER (ORDER BY l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) WHERE before IS NULL OR day < before""")
+def b_skyline(t):
+    return metrics.skyline(t("lineitem").select("l_extendedprice", F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("day")), "l_extendedprice", "day")
+
+
+_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (ORDER BY {', '.join(_ORDER)} ROWS UNBOUNDED PRECEDING) AS shipped FROM lineitem")
+def b_running_quantity(t):
+    return scan.scanned(t("lineitem").select(*_ORDER), _ORDER, "l_quantity", "sum", running="shipped").select("l_orderkey", "l_linenumber", "shipped")
+
+
+@query(f"""
+WITH d AS (SELECT *, {_KEY} AS k FROM documents), f AS (SELECT k, arg_min(lang, doc_id) AS lang, arg_min(text, doc_id) AS text, min(doc_id) AS doc_id FROM d GROUP BY k),
+q AS (SELECT * FROM (VALUES ('en', 150), ('fr', 40), ('es', 100000), ('none', 5)) AS v(lang, quota))
+SELECT lang, doc_id FROM f JOIN q USING (lang) WHERE length(text) >= 300 AND text NOT LIKE '%|%' QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('draw:' || k)) <= any_value(quota) OVER (PARTITION BY lang)""")
+def b_quota_sample(t):
+    docs = t("documents").select("doc_id", "lang", "text").withColumn("k", corpus.canonical_key("text"))
+    accept = lambda rows: rows.filter((F.length("text") >= 300) & ~F.contains("text", F.lit("|")))
+    return sampling.to_quota(docs, "k", "doc_id", "lang", {"en": 150, "fr": 40, "es": 100_000, "none": 5}, accept, "draw").select("lang", "doc_id")
+
+
+@query("""
+WITH n AS (SELECT user_id, event_type, floor(value / 40)::INT AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+s AS (SELECT user_id, place, concat_ws(',', last_value(CASE WHEN event_type = 'click' THEN v END IGNORE NULLS) OVER w, 'e', last_value(CASE WHEN event_type = 'error' THEN v END IGNORE NULLS) OVER w, 'p', last_value(CASE WHEN event_type = 'purchase' THEN v END IGNORE NULLS) OVER w,
+  's', last_value(CASE WHEN event_type = 'signup' THEN v END IGNORE NULLS) OVER w, 'v', last_value(CASE WHEN event_type = 'view' THEN v END IGNORE NULLS) OVER w) AS state FROM n WINDOW w AS (PARTITION BY user_id ORDER BY place)),
+b AS (SELECT user_id, place, lag(place) OVER (PARTITION BY user_id, state ORDER BY place) AS since FROM s)
+SELECT user_id, min(place) AS place, arg_min(since, place) AS since, min(place) - arg_min(since, place) AS period FROM b WHERE since IS NOT NULL GROUP BY user_id""")
+def b_state_recurrence(t):
+    return ordered.recurrence(t("events").withColumn("v", F.floor(F.col("value") / 40)), "user_id", ["ts", "event_id"], "event_type", "v")
