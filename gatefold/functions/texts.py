@@ -102,7 +102,8 @@ def drawn_layer(text: Column) -> Column:
     own = drawn_lines(text)
     whole = (F.size(own) == SZ) & F.forall(own, lambda x: F.length(x) == SX)
     table = F.create_map(*[F.lit(x) for pair in DRAWN.items() for x in pair])
-    cells = F.transform(F.sequence(F.lit(0), F.lit(LAYER - 1)), lambda i: F.element_at(table, F.substr(F.array_join(own, ""), i + 1, F.lit(1))))
+    # joined once and split into characters, which the table then takes one by one
+    cells = F.transform(F.regexp_extract_all(F.array_join(own, ""), F.lit("(.)"), F.lit(1)), lambda c: F.element_at(table, c))
     return F.when(whole, F.concat(F.array_repeat(F.lit(1), LAYER), cells, F.array_repeat(F.lit(0), CELLS - 2 * LAYER)))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,29 +44,25 @@ def noise(specs: DataFrame, key: str, seed: str, tokens: list[int], share: float
     return taken.select(key, "sample", "x", "z", F.get(F.array(*map(F.lit, tokens)), F.pmod(F.xxhash64("_h", "x", "z"), F.lit(len(tokens))).cast("int")).alias("token"))
 
 
-def rounds(verdicts: DataFrame, known: DataFrame, keep: int, cut: Callable[[DataFrame], DataFrame], threshold: float, last: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Runs over the rounds of (round, spec_hash, cand_idx, tokens, kind, blocks): a report of each round, all layouts known
-    after the last, and the best layout of each spec so far.
+def rounds(verdicts: DataFrame, known: DataFrame, keep: int, threshold: float, last: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Over the rounds of (round, spec_hash, cand_idx, tokens, kind, blocks): a report of each round, all layouts known after
+    the last, and the best layout of each spec.
 
     A round accepts the ``keep`` passing layouts of each spec with the fewest blocks, of equal layouts the first; those that
     no earlier round knew are novel. The stage of a round is how many earlier ones passed the threshold with a first
-    candidate. What is carried is written by ``cut`` after each round, so plans stay as large as one round's."""
-    reference: DataFrame | None = None
-    reports: list[DataFrame] = []
-    for row in sorted(verdicts.select("round").distinct().collect()):  # as many rows as rounds
-        own = verdicts.filter(F.col("round") == row["round"])
-        once = own.filter("kind = 'pass'").groupBy("spec_hash", "tokens").agg(F.min(F.struct("blocks", "cand_idx")).alias("v"))
-        took = once.withColumn("place", F.row_number().over(Window.partitionBy("spec_hash").orderBy("v"))).filter(F.col("place") <= keep).select("spec_hash", "tokens", "v.blocks", "v.cand_idx")
-        new = took.join(known.select(F.col("tokens").alias("t")).distinct().withColumn("was", F.lit(1)), F.col("tokens") == F.col("t"), "left")
-        a = own.agg(F.first("round").alias("round"), F.count_distinct("spec_hash").alias("specs"), F.count_distinct(F.when((F.col("cand_idx") == 0) & (F.col("kind") == "pass"), F.col("spec_hash"))).alias("first"))
-        b = new.agg(F.count(F.lit(1)).alias("accepted"), F.count_if(F.col("was").isNull()).alias("novel"))
-        reports.append(cut(a.join(b)))  # each has one row
-        known = cut(known.select("tokens").union(took.select("tokens")).distinct())
-        best = took if reference is None else took.select("spec_hash", "tokens", "blocks").union(reference)
-        reference = cut(best.groupBy("spec_hash").agg(F.min(F.struct("blocks", "tokens")).alias("b")).select("spec_hash", "b.tokens", "b.blocks"))
-    out = reports[0]
-    for more in reports[1:]:
-        out = out.union(more)
-    before = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    candidate. What a round carries over is a function of all before it, so nothing loops: a layout is novel in the round
+    that first accepts it, and the best layout is the least of all accepted."""
+    once = verdicts.filter("kind = 'pass'").groupBy("round", "spec_hash", "tokens").agg(F.min(F.struct("blocks", "cand_idx")).alias("v"))
+    place = F.row_number().over(Window.partitionBy("round", "spec_hash").orderBy("v", "tokens"))
+    took = once.withColumn("place", place).filter(F.col("place") <= keep).select("round", "spec_hash", "tokens", "v.blocks")
+    per = took.groupBy("round", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    first = per.groupBy(F.col("tokens").alias("t")).agg(F.min("round").alias("since"))
+    old = known.select(F.col("tokens").alias("o")).distinct()
+    marked = per.join(first, F.col("tokens") == F.col("t")).join(old, F.col("tokens") == F.col("o"), "left")
+    counts = marked.groupBy(F.col("round").alias("r")).agg(F.sum("n").alias("accepted"), F.sum(F.when((F.col("since") == F.col("round")) & F.col("o").isNull(), F.col("n")).otherwise(0)).alias("novel"))
+    asked = verdicts.groupBy("round").agg(F.count_distinct("spec_hash").alias("specs"), F.count_distinct(F.when((F.col("cand_idx") == 0) & (F.col("kind") == "pass"), F.col("spec_hash"))).alias("first"))
+    both = asked.join(counts, F.col("round") == F.col("r"), "left").select("round", "specs", "first", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("accepted", "novel")])
+    before = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)  # a row for each round
     stage = F.least(F.lit(last), F.coalesce(F.count_if(F.col("first") >= threshold * F.col("specs")).over(before), F.lit(0))).cast("int")
-    return out.withColumn("stage", stage), known, reference
+    best = took.groupBy("spec_hash").agg(F.min(F.struct("blocks", "tokens")).alias("b")).select("spec_hash", "b.tokens", "b.blocks")
+    return both.withColumn("stage", stage), known.select("tokens").union(took.select("tokens")).distinct(), best
