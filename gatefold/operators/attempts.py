@@ -9,8 +9,9 @@ from gatefold.operators.metrics import pass_at_k
 
 
 def collected(attempts: DataFrame, group: str, order: str, item: str, count: int) -> DataFrame:
-    """The first ``count`` different items of each group, in the order, as long as fewer than 3 * count + 6 repeats came before."""
-    first = attempts.withColumn("_new", F.row_number().over(Window.partitionBy(group, item).orderBy(order)) == 1)
+    """The first ``count`` different items of each group, in the order, as long as fewer than 3 * count + 6 repeats came before.
+    Dealt out by group, rows serve both windows."""
+    first = attempts.repartition(group).withColumn("_new", F.row_number().over(Window.partitionBy(group, item).orderBy(order)) == 1)
     before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     counted = first.withColumn("_found", F.coalesce(F.count_if(F.col("_new")).over(before), F.lit(0))).withColumn("_missed", F.coalesce(F.count_if(~F.col("_new")).over(before), F.lit(0)))
     return counted.filter(F.col("_new") & (F.col("_found") < count) & (F.col("_missed") < 3 * count + 6)).select(group, order, item, (F.col("_found") + 1).cast("int").alias("place"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatefold.operators.scan import numbered
+
 
 def canonical_key(text: str | Column) -> Column:
     """MD5 of the text, lower-cased, with runs of white space as one blank: equal keys are equal content."""
@@ -59,11 +61,18 @@ def quotas(spark, plan: Sequence[tuple[str, int]], scale: float) -> DataFrame:
     return spark.createDataFrame(list(plan), "split string, n long").select("split", F.greatest(F.lit(1), F.round(F.col("n") * F.lit(scale))).cast("long").alias("n"))
 
 
-def card(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:
-    """One Markdown row for each row, and all of them joined in order."""
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in columns]), F.lit(" |"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
-    return df.agg(F.concat_ws("\n", F.transform(rows, lambda r: r["line"])).alias("card"))
+def card_lines(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """place and line of a Markdown table: its two head lines, then a line for each row, in the order; null cells are empty.
+    No task has more than its range of rows."""
+    head = df.sparkSession.createDataFrame([(1, "| " + " | ".join(columns) + " |"), (2, "|" + " --- |" * len(columns))], "place long, line string")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
+    rows = numbered(df.select(*order, line.alias("line")), list(order))
+    return head.union(rows.select((F.col("place") + 2).alias("place"), "line"))
+
+
+def write_card(df: DataFrame, columns: Sequence[str], order: Sequence[str], path: str) -> None:
+    """The lines as text files whose names sort as their lines do."""
+    card_lines(df, columns, order).repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
 
 
 def windowed_rank(df: DataFrame, partition: str, *order: Column | str) -> DataFrame:

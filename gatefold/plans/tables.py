@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -178,8 +179,8 @@ WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents)
 SELECT CASE WHEN regexp_matches(ch, '[a-z]') THEN 'lower' WHEN regexp_matches(ch, '[A-Z]') THEN 'upper' WHEN regexp_matches(ch, '[0-9]') THEN 'digit' WHEN ch IN (' ', chr(10)) THEN 'space' ELSE 'other' END AS class, count(*) AS n FROM c WHERE ch <> '' GROUP BY 1""")
 def b_token_counts(t):
     text = F.col("text")
-    classes = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "space": r"[^ \n]"}
-    sums = [F.sum(F.length(F.regexp_replace(text, p, ""))).alias(c) for c, p in classes.items()]
+    classes = {"lower": ascii_lowercase, "upper": ascii_uppercase, "digit": digits, "space": " \n"}
+    sums = [F.sum(F.length(text) - F.length(F.translate(text, own, ""))).alias(c) for c, own in classes.items()]
     one = t("documents").agg(*sums, F.sum(F.length(text)).alias("whole"))
     named = [F.struct(F.lit(c).alias("class"), F.col(c).alias("n")) for c in classes] + [F.struct(F.lit("other").alias("class"), (F.col("whole") - sum((F.col(c) for c in classes), F.lit(0))).alias("n"))]
     return one.select(F.inline(F.array(*named))).filter("n > 0")
@@ -502,3 +503,10 @@ b AS (SELECT user_id, place, lag(place) OVER (PARTITION BY user_id, state ORDER
 SELECT user_id, min(place) AS place, arg_min(since, place) AS since, min(place) - arg_min(since, place) AS period FROM b WHERE since IS NOT NULL GROUP BY user_id""")
 def b_state_recurrence(t):
     return ordered.recurrence(t("events").withColumn("v", F.floor(F.col("value") / 40)), "user_id", ["ts", "event_id"], "event_type", "v")
+
+
+@query("""
+SELECT 1::BIGINT AS place, '| p_partkey | p_name | p_size |' AS line UNION ALL SELECT 2, '| --- | --- | --- |'
+UNION ALL SELECT 2 + row_number() OVER (ORDER BY p_size, p_partkey), '| ' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' |' FROM part""")
+def b_card_lines(t):
+    return corpus.card_lines(t("part"), ["p_partkey", "p_name", "p_size"], ["p_size", "p_partkey"])

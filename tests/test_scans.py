@@ -124,3 +124,13 @@ def test_recurrence_of_whole_states(spark):
     df = spark.createDataFrame(rows, "k int, t int, c string, v int").withColumn("place", F.lit(9)).repartition(4)
     assert {r.k: tuple(r)[1:] for r in ordered.recurrence(df, "k", ["t"], "c", "v", 5).collect()} == want
     assert ordered.recurrence(df.limit(0), "k", ["t"], "c", "v").collect() == []
+
+
+def test_a_card_in_files(spark, tmp_path):
+    from gatefold.operators import corpus
+
+    df = spark.createDataFrame([(3, "c"), (1, None), (2, "b"), (2, "a")], "n int, s string").repartition(3)
+    corpus.write_card(df, ["s", "n"], ["n", "s"], f"file://{tmp_path}/card")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "card").glob("part-*")))
+    assert text.splitlines() == ["| s | n |", "| --- | --- |", "|  | 1 |", "| a | 2 |", "| b | 2 |", "| c | 3 |"]
+    assert corpus.card_lines(df.limit(0), ["s"], ["n"]).count() == 2
