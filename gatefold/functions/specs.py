@@ -18,12 +18,10 @@ def _bit(x: Column | int, k: Column | int) -> Column:
     return F.call_function("shiftright", x if isinstance(x, Column) else F.lit(x), k if isinstance(k, Column) else F.lit(k)).bitwiseAND(F.lit(1))
 
 
-def semantic_key(n_inputs: Column, n_outputs: Column, rows: Column) -> Column:
-    """16 hex digits of FNV-1a over input count, output count and each row's eight little-endian bytes.
+def fnv(values: Column) -> Column:
+    """16 hex digits of FNV-1a over longs from 0 to 2**32 - 1, each taken in as a whole.
 
     Products are taken in 32-bit halves, as a 64-bit one would overflow."""
-    unsigned = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftright", r, k * 8).bitwiseAND(F.lit(255)).cast("long"))))
-    data = F.concat(F.array(n_inputs.cast("long"), n_outputs.cast("long")), unsigned)
 
     def step(acc: Column, b: Column) -> Column:
         x = acc["lo"].bitwiseXOR(b)
@@ -32,7 +30,18 @@ def semantic_key(n_inputs: Column, n_outputs: Column, rows: Column) -> Column:
         return F.struct(hi.bitwiseAND(F.lit(_MASK)).alias("hi"), lo.bitwiseAND(F.lit(_MASK)).alias("lo"))
 
     start = F.struct(F.lit(_HIGH).cast("long").alias("hi"), F.lit(_LOW).cast("long").alias("lo"))
-    return F.aggregate(data, start, step, lambda a: F.lower(F.concat(F.lpad(F.hex(a["hi"]), 8, "0"), F.lpad(F.hex(a["lo"]), 8, "0"))))
+    return F.aggregate(values, start, step, lambda a: F.lower(F.concat(F.lpad(F.hex(a["hi"]), 8, "0"), F.lpad(F.hex(a["lo"]), 8, "0"))))
+
+
+def semantic_key(n_inputs: Column, n_outputs: Column, rows: Column) -> Column:
+    """``fnv`` over input count, output count and each row's eight little-endian bytes."""
+    unsigned = F.flatten(F.transform(rows, lambda r: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.call_function("shiftright", r, k * 8).bitwiseAND(F.lit(255)).cast("long"))))
+    return fnv(F.concat(F.array(n_inputs.cast("long"), n_outputs.cast("long")), unsigned))
+
+
+def world_fingerprint(states: Column) -> Column:
+    """``fnv`` over the numbers of the states of all cells, in the order y, z, x: equal worlds have equal fingerprints."""
+    return fnv(F.transform(states, lambda s: s.cast("long")))
 
 
 def table_rows(number: Column, n: int) -> Column:

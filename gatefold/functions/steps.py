@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatefold.vocab import AIR, COMPARATOR, LAMP, LAYER, LEVER, OBSERVER, REPEATER, SOLID, TARGET, TORCH, WIRE, inside, lookup
+from gatefold.vocab import AIR, CELLS, COMPARATOR, LAMP, LAYER, LEVER, OBSERVER, REPEATER, SOLID, TARGET, TORCH, WIRE, inside, lookup
 
 #: Size of the block vocabulary, by which prefix tokens are moved in a sequence.
 VOCAB_SIZE = 48
@@ -66,3 +66,9 @@ def layer(grid: Column, y: Column) -> Column:
 def found(grid: Column, kind: str) -> Column:
     """Flat indices of the blocks of a kind, in order."""
     return F.filter(F.sequence(F.lit(0), F.size(grid) - 1), lambda i: lookup("kind", F.get(grid, i)) == kind)
+
+
+def parameters(vocab: Column, width: Column, layers: Column, inner: Column, cells: int = CELLS) -> Column:
+    """About how many numbers a transformer over the cells has: embeddings of tokens and places, four square matrices and
+    three of the inner width in each layer, the output."""
+    return vocab * width + cells * width + layers * (4 * width * width + 3 * width * inner) + width * vocab

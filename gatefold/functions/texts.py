@@ -43,6 +43,28 @@ def referenced(rule: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda w: ~F.lower(w).isin(*_KEYWORDS))))
 
 
+#: Ports that a specification may have on a side.
+MOST_PORTS = 6
+
+
+def spec_fault(inputs: Column, outputs: Column, rules: Column) -> Column:
+    """What is first wrong with a specification of names and rules (name, expression), or null: no rule, too many ports, names
+    that are both, outputs without a rule, rules without an output, names in a rule that are no input (rule by rule), inputs
+    that no rule uses. None of the arrays is null."""
+    names, used = F.transform(rules, lambda r: r["name"]), F.flatten(F.transform(rules, lambda r: referenced(r["expression"])))
+    both, missing, extra, unused = F.array_sort(F.array_intersect(inputs, outputs)), F.array_except(outputs, names), F.array_except(names, outputs), F.array_except(inputs, used)
+    unknown = F.filter(F.transform(rules, lambda r: F.struct(r["name"].alias("name"), F.array_except(referenced(r["expression"]), inputs).alias("names"))), lambda u: F.size(u["names"]) > 0)
+
+    def said(items: Column, before: str, after: str = "") -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.lit(before), F.array_join(items, ", "), F.lit(after)))
+
+    return F.coalesce(
+        F.when(F.size(rules) == 0, "no rule"), *[F.when(F.size(c) > MOST_PORTS, F.concat(F.size(c).cast("string"), F.lit(f" {what} exceed {MOST_PORTS}"))) for c, what in ((inputs, "inputs"), (outputs, "outputs"))],
+        said(both, "", " both input and output"), said(missing, "no rule for "), said(extra, "no outputs: "),
+        F.when(F.size(unknown) > 0, F.concat(F.get(unknown, F.lit(0))["name"], F.lit(" refers to "), F.array_join(F.get(unknown, F.lit(0))["names"], ", "))), said(unused, "unused: "),
+    )
+
+
 def constraint_lines(latency: Column, blocks: Column, region_x: Column, region_z: Column) -> Column:
     return F.array_compact(F.array(
         F.when(latency.isNotNull(), F.format_string("latency <= %d", latency)), F.when(blocks.isNotNull(), F.format_string("footprint <= %d", blocks)),
