@@ -28,7 +28,7 @@ CHUNK, CHUNK_SIZE, PACK = 256, 1 << 18, 64
 WIDTH = 4096
 
 
-def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE, large: int = LARGE) -> DataFrame:
+def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE, large: int = LARGE, pack: int = PACK) -> DataFrame:
     """(node, component) of all members (band, bucket, uid, size, n of the bucket) that similar pairs within buckets connect. Stored.
 
     ``first``: bands that come first. ``verified`` (a, b) -> those pairs that are similar. ``joined``: Arrow function of a
@@ -54,12 +54,12 @@ def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFram
         sizes = own.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
         mixed = scratch.stored(sizes.filter("low <> high").select("b", "n", "total", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("total") / chunk_size)).cast("int").alias("chunks")))
         few = mixed.filter("chunks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
-        packs = max(1, few.n // PACK, few.total // chunk_size)
+        packs = max(1, few.n // pack, few.total // chunk_size)
         rows = own.join(mixed.select("b", "chunks"), F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "chunks", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"))
         shipped = rows.join(payload.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of")).drop("of")
         spread = shipped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        pack = F.when(F.col("chunks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(packs)))
-        groups = spread.select(pack.alias("pack"), F.when(F.col("chunks") > 1, F.least("chunk", "other")).otherwise(-1).alias("i"), F.greatest("chunk", "other").alias("j"), "bucket", "uid", "component", "chunk", *carried)
+        held = F.when(F.col("chunks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(packs)))
+        groups = spread.select(held.alias("pack"), F.when(F.col("chunks") > 1, F.least("chunk", "other")).otherwise(-1).alias("i"), F.greatest("chunk", "other").alias("j"), "bucket", "uid", "component", "chunk", *carried)
         found.append(scratch.stored(groups.groupBy("pack", "i", "j").applyInArrow(group, "a long, b long")))
         scratch.release(own, mixed)
         labels = components(reduce(DataFrame.union, found))

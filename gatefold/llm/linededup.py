@@ -13,6 +13,7 @@ a block of 32 bits is the same for one such pair in 150. The README has the figu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatefold.llm import scratch
-from gatefold.llm.graph import apart, classes, common
+from gatefold.llm import graph, scratch
+from gatefold.llm.graph import apart, common
 from gatefold.llm.words import Words, as_bytes, mix
 
 #: Similarity from which lines are one; bands, and samples of each: 0.935 of the pairs of similarity 0.9 share a band, 0.996 of those of 0.95.
 SIMILARITY, BANDS, ROWS = 0.9, 6, 5
 #: Bands that come first.
 FIRST = 2
+#: Pairs of a group whose edits are counted at once, at first; members of a group of small buckets.
+ASKED, PACK = 256, 256
 #: Bytes of text that are worked on at a time, cells of the edit distances that are.
 WINDOW, CELLS = 1 << 19, 1 << 20
+classes = partial(graph.classes, pack=PACK)
 _DIGITS = bytes(48 if 48 <= b < 58 else b for b in range(256))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.random.default_rng(23).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,7 +141,7 @@ def edits(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndar
 
 
 def _banded(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarray, band: int) -> np.ndarray:
-    """Distances, right if at most ``band``: cell c of row i stands for the first i words of a and i + c - band of b."""
+    """Distances, right if at most ``band``: cell c of row i stands for the first i words of a and i + c - band of b. ``n`` ascends."""
     pairs, width, far = len(a), 2 * band + 1, np.int32(1 << 29)
     high = int(n.max())
     x, y = np.zeros((pairs, high), np.uint32), np.zeros((pairs, high + width + 1), np.uint32)
@@ -145,22 +149,28 @@ def _banded(a: list[np.ndarray], b: list[np.ndarray], n: np.ndarray, m: np.ndarr
         x[k, : n[k]] = a[k]
         own = b[k][: high + band]
         y[k, band + 1 : band + 1 + len(own)] = own
+    # a row holds each cell's distance less the cell's place, so that a running minimum along it is all that insertions take
     ramp = np.arange(width, dtype=np.int32)
-    row = np.broadcast_to(np.where(ramp >= band, ramp - band, far).astype(np.int32), (pairs, width)).copy()
+    row = np.broadcast_to(np.where(ramp >= band, -band, far).astype(np.int32), (pairs, width)).copy()
     out = np.full(pairs, far, np.int64)
     ends = m - n + band  # the cell of the last row that holds the distance
     inside = (ends >= 0) & (ends < width)
+    begin = np.searchsorted(n, np.arange(high + 2)).tolist()  # shorter lines of a come first, and are done first
+    at = 0
     for i in range(high + 1):
         if i:
-            same = y[:, i : i + width] == x[:, i - 1 : i]
-            new = row + ~same
-            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            if begin[i] > at:
+                row, at = row[begin[i] - at :], begin[i]
+            new = row + (y[at:, i : i + width] != x[at:, i - 1 : i])
+            np.minimum(new[:, :-1], row[:, 1:] + 2, out=new[:, :-1])
             if i <= band:  # cells left of b's beginning, and its beginning
                 new[:, : band - i] = far
-                new[:, band - i] = i
-            row = np.minimum.accumulate(new - ramp, axis=1) + ramp
-        last = np.flatnonzero((n == i) & inside)
-        out[last] = row[last, ends[last]]
+                new[:, band - i] = 2 * i - band
+            row = np.minimum.accumulate(new, axis=1)
+        if begin[i + 1] > begin[i]:
+            last = np.arange(begin[i], begin[i + 1])
+            last = last[inside[last]]
+            out[last] = row[last - at, ends[last]] + ends[last]
     return out
 
 
@@ -218,10 +228,10 @@ def compared(group: pa.Table, least: float) -> pa.Table:
         likely &= common(owner, word, np.ones(len(word)), len(words)) > longer - most - 0.5
     x, y = np.nonzero(np.triu(likely))
     label = np.unique(component, return_inverse=True)[1]
-    step = 16
+    step = ASKED
     while len(x):  # what a batch joins need not be asked again
         now, x, y = (x[:step], y[:step]), x[step:], y[step:]
-        step = min(2 * step, 1024)
+        step = min(2 * step, 4 * ASKED)
         bound = most[now]
         near = edits([words[k] for k in now[0]], [words[k] for k in now[1]], bound) <= bound
         for p, q in zip(now[0][near].tolist(), now[1][near].tolist(), strict=True):
