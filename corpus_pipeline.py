@@ -16,12 +16,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", stages.pack),
 ]
 
-#: Trained weights and hashes decide here, which SQL can't express; tests compare the stages with brute force.
+#: Trained weights and hashes decide here, which SQL can't express; the near-duplicate stage is tested against brute force, the
+#: others against their operators' own results, which have tests of their own.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; nulls, repeated rows and empty tables are as each stage says, and nothing is lost between them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = scratch.stored(stage(spark, docs, sf_dir))
