@@ -26,6 +26,8 @@ STARS, LARGE = 2, 1024
 CHUNK, CHUNK_SIZE, PACK = 256, 1 << 18, 64
 #: Columns of a block of the matrix product that compares a group.
 WIDTH = 4096
+#: Slots of the bitmap of ``among``, 64 to a row.
+SLOTS = 1 << 26
 
 
 def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE, large: int = LARGE, pack: int = PACK) -> DataFrame:
@@ -73,6 +75,21 @@ def named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, F.col("uid") == F.col("node"), "left").select("bucket", "uid", "size", F.coalesce("component", "uid").alias("component"))
 
 
+def among(table: DataFrame, wanted: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows of ``table`` whose uid is one of ``wanted``.
+
+    A bitmap of the wanted uids' hashes, of at most ``slots`` / 64 rows whatever their number, is broadcast and drops most
+    other rows where they are read; the exact join has the rest to shuffle. Where there are many more wanted uids than
+    slots, it drops less and the join does more."""
+    slot = F.pmod(F.xxhash64("uid"), F.lit(slots))
+    place, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
+    asked = wanted.select("uid").distinct()
+    bitmap = asked.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    likely = table.join(F.broadcast(bitmap), place == F.col("place")).filter(F.getbit("bits", bit) == 1).select(*table.columns)
+    # an inner join of distinct uids: Spark would move a semi join below the bitmap's, and shuffle the whole table for it
+    return likely.join(asked.select(F.col("uid").alias("m")), F.col("uid") == F.col("m")).select(*table.columns)
+
+
 def common(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """For each two of n texts the sum of the lesser weights of what both hold (owner, h, weight).
 

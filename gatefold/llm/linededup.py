@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatefold.llm import graph, scratch
-from gatefold.llm.graph import apart, common
+from gatefold.llm.graph import among, apart, common
 from gatefold.llm.words import Words, as_bytes, mix
 
 #: Similarity from which lines are one; bands, and samples of each: 0.935 of the pairs of similarity 0.9 share a band, 0.996 of those of 0.95.
@@ -254,8 +254,7 @@ def removals(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     entries = distinct.select(F.posexplode("own.bands").alias("band", "bucket"), "uid", F.col("own.size").alias("size"))
     many = entries.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
-    near = members.select(F.col("uid").alias("m")).distinct()
-    words = scratch.stored(table.join(near, F.col("uid") == F.col("m"), "left_semi").select("uid", "words"))
+    words = scratch.stored(among(table.select("uid", "words"), members))
     places = scratch.stored(table.select("doc_id", "code", "line", "key", "key2"))
     known = scratch.stored(distinct.select("key", "key2", "uid", "head", "n"))
     scratch.release(table, distinct)  # the words and bands of lines that resemble no other

@@ -147,6 +147,16 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rows_among_wanted_uids(spark):
+    table = spark.range(-500, 5000).select(F.col("id").alias("uid"), (F.col("id") * 2).alias("size"))
+    wanted = spark.range(-2000, 9000, 37).select(F.col("id").alias("uid"), F.lit(1).alias("size")).union(spark.sql("SELECT 37L, 1 UNION ALL SELECT NULL, 1"))
+    want = sorted(r.uid for r in wanted.distinct().collect() if r.uid is not None and -500 <= r.uid < 5000)
+    for slots in (64, 1024, graph.SLOTS):  # a bitmap of one row, one that is nearly full, and the library's own
+        got = graph.among(table, wanted, slots).collect()
+        assert sorted(r.uid for r in got) == want and all(r.size == 2 * r.uid for r in got)
+    assert not graph.among(table, wanted.limit(0)).count() and not graph.among(table.limit(0), wanted).count()
+
+
 def test_rare_toxic_words_are_learnt():
     rng = random.Random(4)
     known = ["".join(rng.choices("abcde", k=5)) for _ in range(300)]
