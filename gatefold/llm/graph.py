@@ -26,8 +26,8 @@ STARS, LARGE = 2, 1024
 CHUNK, CHUNK_SIZE, PACK = 256, 1 << 18, 64
 #: Columns of a block of the matrix product that compares a group.
 WIDTH = 4096
-#: Slots of the bitmap of ``among``, 64 to a row.
-SLOTS = 1 << 26
+#: Slots of the bitmap of ``among``, 64 to a row; rows of a small table that one task writes, and the fewest tasks that write one.
+SLOTS, OF_TASK, TASKS = 1 << 26, 1 << 17, 12
 
 
 def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE, large: int = LARGE, pack: int = PACK) -> DataFrame:
@@ -38,6 +38,7 @@ def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFram
     members of one bucket and different components."""
     found: list[DataFrame] = []
     labels: DataFrame | None = None
+    rows = members.count()
     carried = [c for c in payload.columns if c != "uid"]
 
     def group(table: pa.Table) -> pa.Table:
@@ -52,13 +53,13 @@ def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFram
             pairs = asked.select(F.greatest("uid", "lead.uid").alias("a"), F.least("uid", "lead.uid").alias("b")).distinct()
             found.append(scratch.stored(verified(pairs).select("a", "b")))
             labels = components(reduce(DataFrame.union, found))
-        own = scratch.stored(named(part, labels))
+        own = scratch.stored(few_tasks(named(part, labels), rows))
         sizes = own.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
-        mixed = scratch.stored(sizes.filter("low <> high").select("b", "n", "total", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("total") / chunk_size)).cast("int").alias("chunks")))
+        mixed = scratch.stored(few_tasks(sizes.filter("low <> high").select("b", "n", "total", F.greatest(F.ceil(F.col("n") / chunk), F.ceil(F.col("total") / chunk_size)).cast("int").alias("chunks")), rows))
         few = mixed.filter("chunks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
         packs = max(1, few.n // pack, few.total // chunk_size)
-        rows = own.join(mixed.select("b", "chunks"), F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "chunks", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"))
-        shipped = rows.join(payload.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of")).drop("of")
+        asked = own.join(mixed.select("b", "chunks"), F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "chunks", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"))
+        shipped = asked.join(payload.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of")).drop("of")
         spread = shipped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         held = F.when(F.col("chunks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(packs)))
         groups = spread.select(held.alias("pack"), F.when(F.col("chunks") > 1, F.least("chunk", "other")).otherwise(-1).alias("i"), F.greatest("chunk", "other").alias("j"), "bucket", "uid", "component", "chunk", *carried)
@@ -75,6 +76,11 @@ def named(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, F.col("uid") == F.col("node"), "left").select("bucket", "uid", "size", F.coalesce("component", "uid").alias("component"))
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` rows, in no more partitions than it takes to write that many: a small table is few files."""
+    return df.coalesce(max(TASKS, rows // OF_TASK))
+
+
 def among(table: DataFrame, wanted: DataFrame, slots: int = SLOTS) -> DataFrame:
     """The rows of ``table`` whose uid is one of ``wanted``.
 
@@ -148,23 +154,24 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every node to its least neighbour, shortens the chains that this makes and draws links between what is
     left of them, so the graph shrinks by more than half; the rounds' maps are put together at the end. Every round writes
     its tables, so no lineage grows and a lost executor costs one round."""
-    edges = scratch.stored(_drawn(links.select("a", "b")))
+    rows = links.count()
+    edges = scratch.stored(few_tasks(_drawn(links.select("a", "b")), rows))
     maps: list[DataFrame] = []
     while not maps or edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
-        hooked = scratch.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
+        hooked = scratch.stored(few_tasks(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")), rows))
         flat = hooked
         for _ in range(2):
             flat = _over(flat, hooked)
-        maps.append(scratch.stored(flat))
+        maps.append(scratch.stored(few_tasks(flat, rows)))
         first, second = (maps[-1].select(F.col("node").alias(x), F.col("component").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-        after = scratch.stored(_drawn(edges.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
+        after = scratch.stored(few_tasks(_drawn(edges.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), rows))
         scratch.release(edges, hooked)
         edges = after
     out = maps.pop()
     while maps:  # a map's components are nodes of the next, or at their root already
         out = _over(maps.pop(), out)
-    return scratch.stored(out)
+    return scratch.stored(few_tasks(out, rows))
 
 
 def _drawn(links: DataFrame) -> DataFrame:
