@@ -45,21 +45,22 @@ def noise(specs: DataFrame, key: str, seed: str, tokens: list[int], share: float
     return taken.select(key, "sample", "x", "z", F.get(F.array(*map(F.lit, tokens)), F.pmod(F.xxhash64("_h", "x", "z"), F.lit(len(tokens))).cast("int")).alias("token"))
 
 
-def rounds(verdicts: DataFrame, known: DataFrame, keep: int, threshold: float, last: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rounds(verdicts: DataFrame, known: DataFrame, keep: int, threshold: float, last: int = 4, first: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Over the rounds of (round, spec_hash, cand_idx, tokens, kind, blocks): a report of each round, all layouts known after
     the last, and the best layout of each spec.
 
-    A round accepts the ``keep`` passing layouts of each spec with the fewest blocks, of equal layouts the first; those that
-    no earlier round knew are novel. The stage of a round is how many earlier ones passed the threshold with a first
+    A round accepts the ``keep`` passing layouts of each spec with the fewest blocks, of equal layouts the first, by ``first``
+    or else by blocks, then candidate; those that no earlier round knew are novel. The stage of a round is how many earlier ones passed the threshold with a first
     candidate. What a round carries over is a function of all before it, so nothing loops: a layout is novel in the round
     that first accepts it, and the best layout is the least of all accepted."""
-    once = verdicts.filter("kind = 'pass'").groupBy("round", "spec_hash", "tokens").agg(F.min(F.struct("blocks", "cand_idx")).alias("v"))
-    place = F.row_number().over(Window.partitionBy("round", "spec_hash").orderBy("v", "tokens"))
-    took = once.withColumn("place", place).filter(F.col("place") <= keep).select("round", "spec_hash", "tokens", "v.blocks")
+    by = F.struct((F.struct("blocks", "cand_idx") if first is None else first).alias("first"), F.col("cand_idx"))
+    once = verdicts.filter("kind = 'pass'").groupBy("round", "spec_hash", "tokens").agg(F.min("blocks").alias("blocks"), F.min_by("cand_idx", by).alias("cand_idx"))
+    place = F.row_number().over(Window.partitionBy("round", "spec_hash").orderBy("blocks", "cand_idx", "tokens"))
+    took = once.withColumn("place", place).filter(F.col("place") <= keep).select("round", "spec_hash", "tokens", "blocks")
     per = took.groupBy("round", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    first = per.groupBy(F.col("tokens").alias("t")).agg(F.min("round").alias("since"))
+    begun = per.groupBy(F.col("tokens").alias("t")).agg(F.min("round").alias("since"))
     old = known.select(F.col("tokens").alias("o")).distinct()
-    marked = per.join(first, F.col("tokens") == F.col("t")).join(old, F.col("tokens") == F.col("o"), "left")
+    marked = per.join(begun, F.col("tokens") == F.col("t")).join(old, F.col("tokens") == F.col("o"), "left")
     counts = marked.groupBy(F.col("round").alias("r")).agg(F.sum("n").alias("accepted"), F.sum(F.when((F.col("since") == F.col("round")) & F.col("o").isNull(), F.col("n")).otherwise(0)).alias("novel"))
     asked = verdicts.groupBy("round").agg(F.count_distinct("spec_hash").alias("specs"), F.count_distinct(F.when((F.col("cand_idx") == 0) & (F.col("kind") == "pass"), F.col("spec_hash"))).alias("first"))
     both = asked.join(counts, F.col("round") == F.col("r"), "left").select("round", "specs", "first", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("accepted", "novel")])
