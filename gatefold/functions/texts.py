@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gatefold.functions.once import once
 from gatefold.functions.phrases import LIGHTS, SWITCHES, functional, pick, vague
 from gatefold.vocab import CELLS, LAYER, NAMES, SX, SZ, lookup
 
@@ -121,12 +122,15 @@ def drawn_lines(text: Column) -> Column:
 
 def drawn_layer(text: Column) -> Column:
     """A grid from 16 lines of 16 characters over the substrate, or null for anything else: nothing is repaired."""
-    own = drawn_lines(text)
-    whole = (F.size(own) == SZ) & F.forall(own, lambda x: F.length(x) == SX)
     table = F.create_map(*[F.lit(x) for pair in DRAWN.items() for x in pair])
-    # joined once and split into characters, which the table then takes one by one
-    cells = F.transform(F.regexp_extract_all(F.array_join(own, ""), F.lit("(.)"), F.lit(1)), lambda c: F.element_at(table, c))
-    return F.when(whole, F.concat(F.array_repeat(F.lit(1), LAYER), cells, F.array_repeat(F.lit(0), CELLS - 2 * LAYER)))
+
+    def cells(own: Column) -> Column:
+        # joined once and split into characters, which the table then takes one by one
+        read = F.transform(F.regexp_extract_all(F.array_join(own, ""), F.lit("(.)"), F.lit(1)), lambda c: F.element_at(table, c))
+        whole = (F.size(own) == SZ) & F.forall(own, lambda x: F.length(x) == SX)
+        return F.when(whole, F.concat(F.array_repeat(F.lit(1), LAYER), read, F.array_repeat(F.lit(0), CELLS - 2 * LAYER)))
+
+    return once(drawn_lines(text), cells)
 
 
 def cell_label(x: Column, y: Column, z: Column, token: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatefold import vocab
 from gatefold.functions import grids, phrases, specs, steps, texts
+from gatefold.functions.once import once
 from gatefold.operators import attempts, checks, circuits, loop
 from gatefold.plans.exports import _grids
 from gatefold.sources import shared
@@ -96,13 +97,18 @@ d AS (SELECT conv_id, turn, role, list_transform(range(256), lambda i: (unicode(
 g AS (SELECT conv_id, turn, role, turn % 4 <> 3 AS readable, list_transform(c, lambda k: [0, 1, 2, 6, 20, 35, 36, 37, 30][k + 1]) AS cells, list_transform(c, lambda k: {_DRAWN}[k + 1]) AS chars FROM d)"""
 
 
+#: Places of a text that a layer's 256 steps of seven can reach.
+_REACH = 255 * 7 + 1
+
+
 def _layers(t) -> DataFrame:
-    own = t("conversations").filter(F.length("text") > 0)
-    chars = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.get(F.array(*map(F.lit, ".#dt>VLTc")), (F.ascii(F.substr(F.col("text"), (1 + (i * 7) % F.length("text")).cast("int"), F.lit(1))) + i) % 9))
-    lines = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda y: F.array_join(F.slice(F.col("chars"), y * 16 + 1, F.lit(16)), ""))
-    kept = F.when(F.col("turn") % 4 == 3, F.slice("lines", 1, 15)).otherwise(F.col("lines"))
-    drawn = F.concat(F.array_join(kept, "\n"), F.when(F.col("turn") % 3 == 1, "\n\nthat is the layer").otherwise(""))
-    return shared.stored(own.withColumn("chars", chars).withColumn("lines", lines).select("conv_id", "turn", "role", drawn.alias("drawn")))
+    own = shared.dealt(t("conversations").select("conv_id", "turn", "role", "text").filter(F.length("text") > 0))
+    signs, n = F.array(*map(F.lit, ".#dt>VLTc")), F.length("text")
+    letters = F.regexp_extract_all(F.substring("text", 1, _REACH), F.lit("(?s)(.)"), F.lit(1))
+    chars = once(F.struct(n.alias("n"), letters.alias("of")), lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.get(signs, (F.ascii(F.get(s["of"], (i * 7) % s["n"])) + i) % 9)), ""))
+    lines = F.sequence(F.lit(0), F.when(F.col("turn") % 4 == 3, 14).otherwise(15))
+    drawn = once(chars, lambda c: F.array_join(F.transform(lines, lambda y: F.substr(c, y * 16 + 1, F.lit(16))), "\n"))
+    return shared.stored(own.select("conv_id", "turn", "role", F.concat(drawn, F.when(F.col("turn") % 3 == 1, "\n\nthat is the layer").otherwise("")).alias("drawn")))
 
 
 @query(f"""

@@ -38,6 +38,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task where a narrow row is much work, about.
+EACH = 20_000
+
+
+def dealt(df: DataFrame, each: int = EACH) -> DataFrame:
+    """``df``'s rows dealt out evenly to tasks of about ``each``, and to every core at least. Readers cut files by bytes, so
+    that a table of a few megabytes is one task, whatever work its rows are."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(max(context.defaultParallelism, -(-df.count() // each)))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
