@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatefold.functions import specs
+from gatefold.functions.once import once
 from gatefold.functions.texts import constraint_lines, source
 from gatefold.sources import shared
 
@@ -81,9 +82,9 @@ def _tree(s: Column, config: Config) -> Column:
         return _node(F.get(F.array(*map(F.lit, NAMES)), k), _variable(k).bitwiseAND(full), full, F.array_contains(nots, i), True)
 
     def join(pool: Column, pick: Column) -> Column:
-        a = F.get(pool, pick["i"])
-        rest = _without(pool, pick["i"])
-        b = F.get(rest, pick["j"])
+        return once(F.struct(F.get(pool, pick["i"]).alias("a"), _without(pool, pick["i"]).alias("rest")), lambda x: joined(x["a"], F.get(x["rest"], pick["j"]), x["rest"], pick))
+
+    def joined(a: Column, b: Column, rest: Column, pick: Column) -> Column:
         tables = {"and": a["table"].bitwiseAND(b["table"]), "or": a["table"].bitwiseOR(b["table"]), "xor": a["table"].bitwiseXOR(b["table"])}
         text = F.concat(F.lit("("), a["text"], F.lit(" "), F.get(F.array(*[F.lit(SIGNS[g]) for g in config.gate_set]), pick["op"]), F.lit(" "), b["text"], F.lit(")"))
         table = F.get(F.array(*[tables[g] for g in config.gate_set]), pick["op"])
@@ -130,13 +131,13 @@ def random_specs(seeds: DataFrame, seed: str, config: Config = Config()) -> Data
     """A specification for each distinct seed: seed, try, n_inputs, rule, rows, gates, max_latency, max_blocks, region_x,
     region_z (null where it has no such constraint). One output; every input matters; the first good try counts.
 
-    Tries are drawn in rounds, each for the seeds that are left; a seed without a good one in all raises. Null seeds are
+    Tries are drawn in rounds, each for the seeds that are left, dealt out to all cores as the result's rows are; a seed without a good one in all raises. Null seeds are
     left out."""
     left = shared.stored(seeds.select(F.col(seed).alias("seed")).filter("seed IS NOT NULL").distinct())
     parts: list[DataFrame] = []
     first = 0
     for last in TRIES:
-        good = tries(left, "seed", first, last, config).filter("good").drop("good")
+        good = tries(shared.dealt(left), "seed", first, last, config).filter("good").drop("good")
         own = [c for c in good.columns if c != "seed"]
         parts.append(shared.stored(good.groupBy("seed").agg(F.min_by(F.struct(*own), "try").alias("_x")).select("seed", "_x.*")))
         left, first = shared.stored(left.join(parts[-1], "seed", "left_anti")), last
@@ -147,7 +148,7 @@ def random_specs(seeds: DataFrame, seed: str, config: Config = Config()) -> Data
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out
+    return shared.dealt(out)
 
 
 def ascii_rule(rule: Column) -> Column:
