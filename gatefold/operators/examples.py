@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatefold.functions.once import once
 from gatefold.vocab import AIR, CELLS, LAYER, SX, SZ
 
 #: The fields of a record, in order.
@@ -18,10 +19,11 @@ def examples(specs: DataFrame, layouts: DataFrame, prompts: DataFrame, key: str)
     prompt).
 
     Layouts that didn't pass are none; a specification without layouts has no record. Prompts are the distinct ones of the
-    key, sorted, and may be none. Null keys join nothing. Equal layouts give a record each."""
+    key, sorted, and may be none. Null keys join nothing. Equal layouts give a record each. ``tokens`` may be a grid or what
+    stands for one; neither side is broadcast, as Spark takes arrays for far smaller than they are."""
     asked = prompts.filter(F.col("prompt").isNotNull()).groupBy(F.col(key).alias("_p")).agg(F.array_sort(F.collect_set("prompt")).alias("prompts"))
     passed = layouts.filter("kind = 'pass'").select(F.col(key).alias("_l"), "input_z", "output_z", "tokens", "latency_rt", "blocks", "bbox")
-    joined = specs.join(passed, F.col(key) == F.col("_l")).join(asked, F.col(key) == F.col("_p"), "left")
+    joined = specs.join(passed.hint("merge"), F.col(key) == F.col("_l")).join(asked.hint("merge"), F.col(key) == F.col("_p"), "left")
     return joined.withColumn("prompts", F.coalesce("prompts", F.array().cast("array<string>"))).select(*FIELDS)
 
 
@@ -38,18 +40,26 @@ def construction_fault(inputs: Column, outputs: Column, rows: Column) -> Column:
     """What is first wrong with a construction from ports (x, z) and rows, or null: no or too many inputs, no or too many
     outputs, a table of the wrong length, then, input by input and output by output, a port off its face or one that shares
     its cell with an earlier one. Null arrays are empty."""
-    ins, outs = (F.coalesce(c, F.filter(c, lambda p: F.lit(False)), F.array().cast("array<struct<x:int,z:int>>")) for c in (inputs, outputs))
-    n, m, got = F.size(ins), F.size(outs), F.coalesce(F.when(rows.isNotNull(), F.size(rows)), F.lit(0))
+    none = F.array().cast("array<struct<x:int,z:int>>")
+    ins, outs = (F.coalesce(c, F.filter(c, lambda p: F.lit(False)), none) for c in (inputs, outputs))
+    got = F.coalesce(F.when(rows.isNotNull(), F.size(rows)), F.lit(0))
+    return once(F.struct(ins.alias("ins"), outs.alias("outs"), got.alias("got")), lambda c: _construction_fault(c["ins"], c["outs"], c["got"]))
+
+
+def _construction_fault(ins: Column, outs: Column, got: Column) -> Column:
+    n, m = F.size(ins), F.size(outs)
     want = F.call_function("shiftleft", F.lit(1), n)
-    every = F.concat(_faced(ins, INPUT_X), _faced(outs, OUTPUT_X))
 
-    def fault(p: Column, i: Column) -> Column:
-        before = F.exists(F.slice(every, F.lit(1), i), lambda q: (q["x"] == p["x"]) & (q["z"] == p["z"]))
-        side = F.when(p["face"] == INPUT_X, "input").otherwise("output")
-        off = F.concat(side, F.format_string(" port (%d, %d) is not on the x=%d face", p["x"], p["z"], p["face"]))
-        return F.when(p["x"] != p["face"], off).when(before, F.format_string("two ports share (%d, %d)", p["x"], p["z"]))
+    def port_faults(every: Column) -> Column:
+        def fault(p: Column, i: Column) -> Column:
+            before = F.exists(F.slice(every, F.lit(1), i), lambda q: (q["x"] == p["x"]) & (q["z"] == p["z"]))
+            side = F.when(p["face"] == INPUT_X, "input").otherwise("output")
+            off = F.concat(side, F.format_string(" port (%d, %d) is not on the x=%d face", p["x"], p["z"], p["face"]))
+            return F.when(p["x"] != p["face"], off).when(before, F.format_string("two ports share (%d, %d)", p["x"], p["z"]))
+
+        return F.get(F.filter(F.transform(every, fault), lambda r: r.isNotNull()), F.lit(0))
 
-    ports = F.get(F.filter(F.transform(every, fault), lambda r: r.isNotNull()), F.lit(0))
+    ports = once(F.concat(_faced(ins, INPUT_X), _faced(outs, OUTPUT_X)), port_faults)
     return (
         F.when(n == 0, "no inputs").when(n > MOST_PORTS, F.format_string("%d inputs exceed %d", n, F.lit(MOST_PORTS)))
         .when(m == 0, "no outputs").when(m > MOST_PORTS, F.format_string("%d outputs exceed %d", m, F.lit(MOST_PORTS)))

@@ -19,12 +19,14 @@ def b_example_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = random_specs.with_identity(_specs(spark, sf_dir))
     n = F.col("seed").cast("int") % 200
     layouts = own.select(
-        "seed", F.lit("pass").alias("kind"), specs.default_rows(F.col("n_inputs")).alias("input_z"), specs.default_rows(F.lit(1)).alias("output_z"), F.concat(F.array_repeat(F.lit(1), LAYER), F.array_repeat(F.lit(2), n), F.array_repeat(F.lit(0), F.lit(CELLS - LAYER) - n)).alias("tokens"),
+        "seed", F.lit("pass").alias("kind"), specs.default_rows(F.col("n_inputs")).alias("input_z"), specs.default_rows(F.lit(1)).alias("output_z"), n.alias("tokens"),
         F.lit(3).alias("latency_rt"), n.alias("blocks"), F.array(F.lit(16), F.lit(1), F.lit(16)).alias("bbox"),
     )
     rows = examples.examples(own, layouts, own.select("seed", F.concat(F.lit('say "'), "rule", F.lit('"')).alias("prompt")), "seed")
+    # the joins carry a number for each grid, which is made where it is written
+    grid = F.concat(F.array_repeat(F.lit(1), LAYER), F.array_repeat(F.lit(2), F.col("tokens")), F.array_repeat(F.lit(0), F.lit(CELLS - LAYER) - F.col("tokens")))
     path = shared.new_path(spark)
-    records.write_examples(rows.withColumn("split", F.when(F.col("blocks") % 10 == 0, "test").otherwise("train")), path)
+    records.write_examples(rows.withColumn("tokens", grid).withColumn("split", F.when(F.col("blocks") % 10 == 0, "test").otherwise("train")), path)
     parts = [records.read_examples(spark, f"{path}/split={s}").withColumn("split", F.lit(s)) for s in ("train", "test")]
     back = parts[0].unionByName(parts[1])
     return back.select("split", "spec_source", "spec_hash", "gates", "n_inputs", F.array_join("rows", "").alias("bits"), F.array_join("input_z", ",").alias("input_z"), F.md5(F.array_join("tokens", ",")).alias("tokens"), "blocks", F.element_at("prompts", 1).alias("prompt"))
