@@ -137,7 +137,7 @@ _NAMED = "(VALUES " + ", ".join(f"('{b}', '{name}')" for n, b, name in specs.NAM
 
 
 def _functions(t) -> DataFrame:
-    own = t("part").select("p_partkey", ((F.col("p_partkey") * 37 + F.col("p_size")) % 256).cast("int").alias("tbl"))
+    own = shared.dealt(t("part").select("p_partkey", "p_size")).select("p_partkey", ((F.col("p_partkey") * 37 + F.col("p_size")) % 256).cast("int").alias("tbl"))
     return own.withColumn("rows", specs.table_rows(F.col("tbl"), 3)).withColumn("names", F.array(*map(F.lit, "ABC")))
 
 
