@@ -57,13 +57,17 @@ def shingled(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def frequent(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles of more than one document in ``rare``: sorted hashes, document counts; and the number of documents.
+    """Shingles of more than one document in ``rare``: sorted hashes, document counts; and the number of documents. A shingle
+    of a single document is left out: it weighs what an unknown one does.
 
-    Exact: at most 7/8 of such a shingle's documents can lie in partitions in which fewer than 7/8 of that share hold it, so
+    Where every partition has so few documents that it reports all shingles, their sums are the counts, and only those that
+    are asked for reach the driver; of few long documents nearly all shingles would be candidates.
+
+    Exact otherwise too: at most 7/8 of such a shingle's documents can lie in partitions in which fewer than 7/8 of that share hold it, so
     the others, which report it, hold an eighth; of that a 16th may get lost."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, before, hashes, counts, held = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+        whole, n, before, hashes, counts, held = True, 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
         for batch in batches:
             for part, texts in pieces(batch, "text", 1 << 19):
                 n += part.num_rows
@@ -73,10 +77,12 @@ def frequent(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray,
                     held = []
                     if len(hashes) > 1 << 22:  # lossy counting: all that a shingle loses is a 16th of the bound
                         keep = counts * 16 * rare >= n - before
+                        whole &= bool(keep.all())
                         hashes, counts, before = hashes[keep], counts[keep], n
         hashes, counts = _merged(hashes, counts, held)
         keep = counts * 16 * rare >= 13 * n
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[keep].view(np.int64), 0)), pa.array(np.append(counts[keep], n)), pa.array(np.append(np.zeros(int(keep.sum()), bool), True))], ["h", "n", "total"])
+        whole &= bool(keep.all())
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hashes[keep].view(np.int64), 0 if whole else 1)), pa.array(np.append(counts[keep], n)), pa.array(np.append(np.zeros(int(keep.sum()), bool), True))], ["h", "n", "total"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = shared.value, np.zeros(len(shared.value), np.int64)
@@ -92,17 +98,27 @@ def frequent(docs: DataFrame, rare: int = RARE) -> tuple[np.ndarray, np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(counts[some])], ["h", "n"])
 
     found = scratch.stored(docs.select("text").mapInArrow(local, "h long, n long, total boolean").groupBy("h", "total").agg(F.sum("n").alias("n")))
-    total = sum(r.n for r in found.filter("total").collect())
+    totals = found.filter("total").collect()
+    total = sum(r.n for r in totals)
+    often = (F.col("n") > 1) & (F.col("n") * rare > total)
+    if all(r.h == 0 for r in totals):
+        rows = found.filter(~F.col("total") & often).select("h", "n").toArrow()
+        scratch.release(found)
+        return *_sorted(rows), total
     chosen = found.filter((~F.col("total")) & (F.col("n") * 16 * rare >= total)).select("h").toArrow()
     keys = np.sort(np.asarray(chosen.column("h")).view(np.uint64))
     scratch.release(found)
     if not len(keys):
         return keys, np.zeros(0, np.int64), total
     shared = docs.sparkSession.sparkContext.broadcast(keys)
-    rows = docs.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") * rare > total).toArrow()
+    rows = docs.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(often).toArrow()
+    return *_sorted(rows), total
+
+
+def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = np.asarray(rows.column("h")).view(np.uint64), np.asarray(rows.column("n"))
     order = np.argsort(keys)
-    return keys[order], counts[order], total
+    return keys[order], counts[order]
 
 
 def _merged(hashes: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
