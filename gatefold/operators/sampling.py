@@ -1,7 +1,7 @@
 """Sampling to quotas with rejection: the rows of each stratum with the lowest hashes that a test accepts.
 
-What is drawn is a bottom-k sketch by stratum, which merges: every task keeps the lowest hashes it sees, so little is
-shuffled however large a stratum is. A round draws what is still short, in view of how many were accepted so far, from
+What is drawn are the rows up to a hash that counts of the hashes' leading digits find, so no task gets a stratum, however
+large it or its quota is. A round draws what is still short, in view of how many were accepted so far, from
 where the last one ended; the test, however dear, sees those rows alone. The sample is the same whatever the rounds were.
 """
 
@@ -35,6 +35,28 @@ def place(seed: str, key: str | Column) -> Column:
     return F.md5(F.concat(F.lit(seed + ":"), c.cast("string")))
 
 
+#: Leading digits of a place that a stratum's rows are counted by, 65,536 counts at most.
+DIGITS = 4
+
+
+def lowest(df: DataFrame, stratum: str, wanted: DataFrame) -> DataFrame:
+    """The rows of each stratum with the lowest places, as many as ``wanted`` (_s, _want; few rows) says; places are hashes
+    without repetition.
+
+    Counts by leading digits say where a stratum's last wanted row is. Rows before those digits are taken where they are
+    read, and only rows with just those digits, one in 65,536, are put in order."""
+    digits = F.substring("place", 1, DIGITS)
+    counts = df.groupBy(F.col(stratum).alias("_s"), digits.alias("_digits")).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(wanted), "_s")
+    upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_digits"))  # the counts of a stratum
+    last = counts.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_want")).groupBy("_s").agg(F.min_by(F.struct(F.col("_digits").alias("digits"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("n")), "_digits").alias("_last"))
+    ends = shared.stored(wanted.select("_s").join(last, "_s", "left"))
+    rows = df.join(F.broadcast(ends), F.col(stratum) == F.col("_s"))
+    whole = rows.filter(F.col("_last").isNull() | (digits < F.col("_last.digits")))
+    nth = F.row_number().over(Window.partitionBy(stratum).orderBy("place"))
+    some = rows.filter(digits == F.col("_last.digits")).withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_last.n"))
+    return whole.select(*df.columns).union(some.select(*df.columns))
+
+
 def to_quota(df: DataFrame, key: str, order: str, stratum: str, quotas: dict, accept: Callable[[DataFrame], DataFrame], seed: str = "", strict: bool = False) -> DataFrame:
     """``df``'s columns and ``place``: of each stratum the first so many distinct keys that ``accept`` keeps, in hash order.
 
@@ -52,10 +74,8 @@ def to_quota(df: DataFrame, key: str, order: str, stratum: str, quotas: dict, ac
     got = dict.fromkeys(quotas, 0)
     while state:
         asked = spark.createDataFrame([(s, x["want"], x["after"]) for s, x in state.items()], T.StructType([T.StructField("_s", kind), T.StructField("_want", T.LongType()), T.StructField("_after", T.StringType())]))
-        most = max(x["want"] for x in state.values())
         rows = pool.join(F.broadcast(asked), (F.col(stratum) == F.col("_s")) & (F.col("place") > F.col("_after")))
-        nth = F.row_number().over(Window.partitionBy(stratum).orderBy("place"))
-        drawn = shared.stored(rows.withColumn("_nth", nth).filter((F.col("_nth") <= most) & (F.col("_nth") <= F.col("_want"))).select(*pool.columns))
+        drawn = shared.stored(lowest(rows.select(*pool.columns), stratum, asked.select("_s", "_want")))
         kept = shared.stored(accept(drawn).select(*pool.columns))
         parts.append(kept)
         ends = {r[0]: (r["n"], r["last"]) for r in drawn.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("last")).collect()}
@@ -74,6 +94,4 @@ def to_quota(df: DataFrame, key: str, order: str, stratum: str, quotas: dict, ac
     out = parts[0] if parts else pool.limit(0)
     for more in parts[1:]:
         out = out.unionByName(more)
-    wanted = spark.createDataFrame(list(quotas.items()), T.StructType([T.StructField("_s", kind), T.StructField("_quota", T.LongType())]))
-    nth = F.row_number().over(Window.partitionBy(stratum).orderBy("place"))
-    return out.join(F.broadcast(wanted), F.col(stratum) == F.col("_s")).withColumn("_nth", nth).filter("_nth <= _quota").select(*pool.columns)
+    return lowest(out, stratum, spark.createDataFrame([(s, q) for s, q in quotas.items() if q > 0], T.StructType([T.StructField("_s", kind), T.StructField("_want", T.LongType())])))
