@@ -61,6 +61,16 @@ def mismatches(observed: Column, expected: Column) -> Column:
     return F.filter(F.zip_with(F.transform(observed, lambda v, m: F.struct(m.alias("m"), v.alias("v"))), expected, lambda o, e: F.struct(o["m"].alias("inputs"), o["v"].alias("observed"), e.alias("expected"))), lambda s: s["observed"] != s["expected"])
 
 
+def rebuilt(expected: Column, wrong: Column) -> Column:
+    """The observed rows of a truth table: the expected ones with the mismatches written over them."""
+
+    def row(e: Column, m: Column) -> Column:
+        own = F.get(F.filter(wrong, lambda s: s["inputs"] == m), F.lit(0))
+        return F.when(own.isNull(), e).otherwise(own["observed"])
+
+    return F.transform(expected, row)
+
+
 def verdict_text(kind: Column, latency: Column, blocks: Column, box: Column, n_wrong: Column, constraint: Column, period: Column, reason: Column) -> Column:
     size = F.format_string("(%d, %d, %d)", box["x"], box["y"], box["z"])
     return (

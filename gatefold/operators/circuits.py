@@ -1,4 +1,4 @@
-"""Circuit graphs as tables: fan-out, depth, dust strength, settled verdicts from observed tables."""
+"""Circuit graphs as tables: fan-out, depth, dust strength."""
 
 from __future__ import annotations
 
@@ -84,11 +84,6 @@ def dust_strength(links: DataFrame, seeds: DataFrame, steps: int = 15) -> DataFr
     return level
 
 
-def reconstructed(expected: DataFrame, wrong: DataFrame) -> DataFrame:
-    """(case, m, outputs) with the mismatches (case, m, observed) written over it."""
-    return expected.join(wrong, ["case", "m"], "left").select("case", "m", F.coalesce("observed", "outputs").alias("outputs"))
-
-
 def cycles(history: DataFrame) -> DataFrame:
     """(sim, t, state) -> the first t at which a state of that run comes back, and the period."""
     first = history.groupBy("sim", "state").agg(F.min("t").alias("since"))

@@ -209,10 +209,8 @@ def b_part_mismatches(spark, t, sf_dir):
     """Expected against observed tables row by row, and the observed one rebuilt from the expected and what was wrong."""
     f = _functions(t).withColumn("seen", specs.table_rows(F.col("p_partkey") % 256, 3)).withColumn("w", checks.mismatches(F.col("seen"), F.col("rows")))
     text = F.transform("w", lambda s: F.concat(s["inputs"].cast("string"), F.lit(":"), s["observed"].cast("string"), F.lit("/"), s["expected"].cast("string")))
-    expected = f.select(F.col("p_partkey").alias("case"), F.posexplode("rows").alias("m", "outputs"))
-    wrong = f.select(F.col("p_partkey").alias("case"), F.explode("w").alias("s")).select("case", F.col("s.inputs").alias("m"), F.col("s.observed").alias("observed"))
-    again = circuits.reconstructed(expected, wrong).groupBy("case").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", "outputs"))), lambda s: s["outputs"]), "").alias("again"))  # eight rows each
-    return f.join(again, F.col("p_partkey") == F.col("case")).select("p_partkey", F.array_join(text, " ").alias("wrong"), F.size("w").alias("n_wrong"), "again")
+    again = F.array_join(checks.rebuilt(F.col("rows"), F.col("w")), "")
+    return f.select("p_partkey", F.array_join(text, " ").alias("wrong"), F.size("w").alias("n_wrong"), again.alias("again"))
 
 
 # A line item as a verdict on a candidate.
