@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatefold.operators.corpus import first_occurrence, unseen
+from gatefold.sources import shared
 
 #: Texts in, answers out, in their order; None or an empty text is no answer.
 Hook = Callable[[list[str]], list[str | None]]
@@ -50,6 +51,7 @@ def called(asked: DataFrame, hook: Hook, batch: int = BATCH) -> DataFrame:
                     raise ValueError(f"{own.num_rows} texts have {len(answers)} answers")
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([a if a and a.strip() else None for a in answers], pa.string())], ["key", "answer"])
 
+    shared.lean(asked.sparkSession)
     return asked.mapInArrow(call, "key string, answer string")
 
 

@@ -31,6 +31,17 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
+#: Bytes of an Arrow batch, where the session says nothing else: Python workers then hold little, however long rows are.
+BATCH = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Bounds what a Python worker is sent at a time by bytes; Spark alone bounds rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll and spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read back: its lineage ends here, and its rows stay as they were written."""
     path = new_path(df.sparkSession)
