@@ -40,9 +40,9 @@ def depth(edges: DataFrame) -> DataFrame:
     """(source, target) of an acyclic graph -> node, depth: the edges of the longest chain that ends there.
 
     Nodes are peeled off in rounds, as many as the graph is deep. A round joins the nodes that nothing left points at with
-    their edges, takes those off the targets' in-degrees and raises their depths; each edge is followed once, in whatever
-    number of chains it is. A round is one job: what it leaves is written, and counted as it is written. Edges that are done
-    with are dropped whenever half of them are.
+    their edges, takes those off the targets' in-degrees and raises their depths, in one aggregate that is the round's only
+    shuffle; each edge is followed once, in whatever number of chains it is. A round is one job: what it leaves is written,
+    and counted as it is written. Edges that are done with are dropped whenever half of them are.
 
     Repeated edges count once; edges with a null end are left out; a cycle raises Cyclic."""
     path = shared.new_path(edges.sparkSession)
@@ -59,8 +59,8 @@ def depth(edges: DataFrame) -> DataFrame:
         if got["edges"] < held / 2:
             own, held = shared.stored(own.join(before.select(F.col("node").alias("source")), "source", "left_semi")), got["edges"]
         free = before.filter("waits = 0").select(F.col("node").alias("source"), "depth")
-        reached = own.join(F.broadcast(free) if got["free"] <= FEW else free, "source").groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.max("depth").alias("_d"))
-        after = before.filter("waits > 0").join(reached, F.col("node") == F.col("target"), "left").select("node", (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits"), F.greatest("depth", F.col("_d") + 1).alias("depth"))
+        reached = own.join(F.broadcast(free) if got["free"] <= FEW else free, "source").select(F.col("target").alias("node"), F.lit(-1).cast("long").alias("waits"), (F.col("depth") + 1).alias("depth"))
+        after = before.filter("waits > 0").union(reached).groupBy("node").agg(F.sum("waits").alias("waits"), F.max("depth").alias("depth"))  # an edge's target waits for it
         number += 1
         got = written(after, f"{path}/round={number}", metrics)
     return read.schema(shape).option("basePath", path).parquet(path).filter("waits = 0").select("node", "depth")
