@@ -28,6 +28,8 @@ PRIOR, STEEP = 8.0, 6
 #: A constant factor of the mean, so that weights of usual size can answer to a few words in a hundred.
 GAIN = 50.0
 CUT = 0.5
+#: Distinct words whose subwords are made or summed at a time in the fit.
+BLOCK = 1 << 14
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -82,36 +84,72 @@ class Model:
         return sigmoid(out)
 
 
+def bag(text: bytes) -> tuple[bytes, np.ndarray]:
+    """The distinct words of a text, in the order of their hashes and with blanks between, and how often each occurs."""
+    words, number = distinct_words(Words([text]))
+    return b" ".join(words), np.bincount(number, minlength=len(words)).astype(np.int32)
+
+
 def train(texts: list[bytes], labels: np.ndarray) -> Model:
-    """Embeddings and outputs fitted together; without both labels the model knows only their rate.
+    """The model of whole texts; see ``learnt``."""
+    bags = [bag(t) for t in texts]
+    return learnt([words for words, _ in bags], np.concatenate([np.zeros(0, np.int32), *(n for _, n in bags)]), labels)
+
+
+def learnt(bags: list[bytes], counts: np.ndarray, labels: np.ndarray) -> Model:
+    """Embeddings and outputs fitted together on documents, each the words of a ``bag``, ``counts`` of all of them one after
+    the other; without both labels the model knows only their rate.
 
     All subwords are given vectors, and no size of the input switches any off. What a few documents hold by chance is kept
     small by a prior that grows with the evidence of a subword's count, and by weight decay.
 
     The two outputs of a document are linear in its subwords' vectors, and their errors are opposite; so each epoch needs
-    one number for each subword, its gain, and one for its gradient."""
+    one number for each subword, its gain, and one for its gradient.
+
+    Four bytes stay of each subword of a distinct word; the rest is done for BLOCK words at a time, so that a driver holds it."""
     rate = (float(labels.sum()) + 0.5) / (len(labels) + 1)
     bias = np.array([0.0, np.log(rate / (1 - rate))])
     nothing = Model(np.zeros(BUCKETS), float(bias[1] - bias[0]))
-    w = Words(texts)
+    w = Words(bags)
     if not len(w) or labels.min() == labels.max():
         return nothing
-    words, number = distinct_words(w)
-    ids, starts = subwords(words)
-    size = np.diff(np.append(starts, len(ids)))
-    owner = np.repeat(np.arange(len(words)), size)
-    pair, count = np.unique(w.text_of(np.arange(len(w))) * len(words) + number, return_counts=True)
-    doc, word = pair // len(words), pair % len(words)
-    share = GAIN * count / np.diff(w.bounds)[doc] / size[word]
-    used, ids = np.unique(ids, return_inverse=True)
-    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
-    ids = ids.astype(np.int32)
+    doc = w.text_of(np.arange(len(w))).astype(np.int32)
+    _, first, word = np.unique(w.hashes, return_index=True, return_inverse=True)
+    low, starts, ends = w.low.tobytes(), w.starts[first], w.ends[first]
+    n, word = len(first), word.astype(np.int32)
+    del w, first
+    size, blocks, seen = np.zeros(n, np.int32), [], np.zeros(BUCKETS, bool)
+    for k in range(0, n, BLOCK):
+        ids, at = subwords([low[s:e] for s, e in zip(starts[k : k + BLOCK].tolist(), ends[k : k + BLOCK].tolist(), strict=True)])
+        size[k : k + BLOCK] = np.diff(np.append(at, len(ids)))
+        seen[ids] = True
+        blocks.append(ids.astype(np.int32))
+    del low, starts, ends
+    used, number = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
+    for ids in blocks:
+        ids[:] = number[ids]
+    share = GAIN * counts / np.bincount(doc, counts, len(bags))[doc] / size[word]
     doc_at = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     filled = doc[doc_at]
 
-    # how often a subword occurs in toxic documents, and how often it would by chance
-    total = np.bincount(ids, np.bincount(word, minlength=len(words))[owner], len(used))
-    found = np.bincount(ids, np.bincount(word, labels[doc], len(words))[owner], len(used))
+    def of_words(worth: np.ndarray) -> np.ndarray:
+        """For each word the sum of its subwords' ``worth``."""
+        out = np.empty(n)
+        for k, ids in zip(range(0, n, BLOCK), blocks, strict=True):
+            own = size[k : k + BLOCK]
+            out[k : k + BLOCK] = np.add.reduceat(worth[ids], np.cumsum(own) - own)
+        return out
+
+    def of_subwords(worth: np.ndarray) -> np.ndarray:
+        """For each subword the sum of its words' ``worth``."""
+        out = np.zeros(len(used))
+        for k, ids in zip(range(0, n, BLOCK), blocks, strict=True):
+            out += np.bincount(ids, np.repeat(worth[k : k + BLOCK], size[k : k + BLOCK]), len(used))
+        return out
+
+    # how often a subword occurs in toxic documents, and how often it would by chance: in how many, for each of its words
+    total = of_subwords(np.bincount(word, minlength=n).astype(float))
+    found = of_subwords(np.bincount(word, labels[doc], n))
     usual = total * labels[doc].mean()
     odd = (np.abs(found - usual) / np.sqrt(usual + 1)) ** STEEP
     scale = odd / (odd + PRIOR**STEEP)
@@ -120,10 +158,10 @@ def train(texts: list[bytes], labels: np.ndarray) -> Model:
     moves = [adam(table.shape, RATE, DECAY), adam(out.shape, RATE), adam(bias.shape, RATE)]
     for _ in range(EPOCHS):
         apart = out[:, 1] - out[:, 0]
-        score = np.full(len(texts), bias[1] - bias[0])
-        score[filled] += np.add.reduceat(np.add.reduceat((scale * (table @ apart))[ids], starts)[word] * share, doc_at)
-        error = (sigmoid(score) - labels) / len(texts)  # the softmax of two outputs
-        back = scale * np.bincount(ids, np.bincount(word, error[doc] * share, len(words))[owner], len(used))
+        score = np.full(len(bags), bias[1] - bias[0])
+        score[filled] += np.add.reduceat(of_words(scale * (table @ apart))[word] * share, doc_at)
+        error = (sigmoid(score) - labels) / len(bags)  # the softmax of two outputs
+        back = scale * of_subwords(np.bincount(word, error[doc] * share, n))
         turn = table.T @ back
         moves[0](table, back[:, None] * apart)
         moves[1](out, np.stack([-turn, turn], 1))
@@ -139,29 +177,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     Of those, in the order of a hash of their texts, the first that have ``most_words`` distinct words together teach; a
     longer one is left out and the next are tried, so that the driver gets bounded bytes whatever the documents are like."""
 
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch, "text"):
-                out = []
-                for t in texts:
-                    w = Words([t])
-                    words, number = distinct_words(w)
-                    out.append((b" ".join(words), np.bincount(number, minlength=len(words)).astype(np.int32).tobytes(), len(words)))
+                out = [(words, counts.tobytes(), len(counts)) for words, counts in map(bag, texts)]
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *columns], ["doc_id", "label", "words", "counts", "n"])
 
     rows = sample(docs, labels, label, most)
-    bags = scratch.stored(rows.mapInArrow(bag, T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), *T._parse_datatype_string("words binary, counts binary, n long").fields])).withColumn("turn", F.xxhash64("words", "counts", "label")))
+    bags = scratch.stored(rows.mapInArrow(bagged, T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), *T._parse_datatype_string("words binary, counts binary, n long").fields])).withColumn("turn", F.xxhash64("words", "counts", "label")))
     room, chosen = most_words, []
     for r in bags.select("turn", "n", "label").orderBy("turn", "n", "label").limit(most).collect():
         if r.n <= room:
             room -= r.n
             chosen.append((r.turn, r.n, r.label))
     picked = bags.sparkSession.createDataFrame(sorted(set(chosen)) or [(0, -1, 0)], "turn long, n long, label int")
-    table = bags.join(F.broadcast(picked), ["turn", "n", "label"], "left_semi").orderBy("turn", "n", "label").limit(len(chosen)).select("label", "words", "counts", "n").toArrow().to_pylist()
+    table = bags.join(F.broadcast(picked), ["turn", "n", "label"], "left_semi").orderBy("turn", "n", "label").limit(len(chosen)).select("label", "words", "counts").toArrow()
     scratch.release(bags)
-    texts = [b" ".join(w for w, n in zip(r["words"].split(b" "), np.frombuffer(r["counts"], np.int32).tolist(), strict=False) for _ in range(n)) for r in table]
-    return train(texts, np.array([r["label"] for r in table], np.int64)) if table else Model(np.zeros(BUCKETS), 0.0)
+    if not table.num_rows:
+        return Model(np.zeros(BUCKETS), 0.0)
+    label, words, counts = table.columns
+    return learnt(words.to_pylist(), np.frombuffer(b"".join(counts.to_pylist()), np.int32), np.asarray(label, np.int64))
 
 
 def scored(docs: DataFrame, model, doc_id: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
