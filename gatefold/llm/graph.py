@@ -26,7 +26,7 @@ STARS, LARGE = 2, 1024
 CHUNK, CHUNK_SIZE, PACK = 256, 1 << 18, 64
 #: Columns of a block of the matrix product that compares a group.
 WIDTH = 4096
-#: Slots of the bitmap of ``among``, 64 to a row; rows of a small table that one task writes, and the fewest tasks that write one.
+#: Slots of the bitmap of ``marked``, 64 to a row; rows of a small table that one task writes, and the fewest tasks that write one.
 SLOTS, OF_TASK, TASKS = 1 << 26, 1 << 17, 12
 
 
@@ -59,12 +59,13 @@ def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFram
         few = mixed.filter("chunks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
         packs = max(1, few.n // pack, few.total // chunk_size)
         asked = own.join(mixed.select("b", "chunks"), F.col("bucket") == F.col("b")).select("bucket", "uid", "component", "chunks", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"))
-        shipped = asked.join(payload.withColumnRenamed("uid", "of"), F.col("uid") == F.col("of")).drop("of")
+        asked = scratch.stored(few_tasks(asked, rows))
+        shipped = asked.join(likely(payload, asked, "uid").withColumnRenamed("uid", "of"), F.col("uid") == F.col("of")).drop("of")
         spread = shipped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         held = F.when(F.col("chunks") > 1, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(packs)))
         groups = spread.select(held.alias("pack"), F.when(F.col("chunks") > 1, F.least("chunk", "other")).otherwise(-1).alias("i"), F.greatest("chunk", "other").alias("j"), "bucket", "uid", "component", "chunk", *carried)
         found.append(scratch.stored(groups.groupBy("pack", "i", "j").applyInArrow(group, "a long, b long")))
-        scratch.release(own, mixed)
+        scratch.release(own, mixed, asked)
         labels = components(reduce(DataFrame.union, found))
     return labels
 
@@ -81,19 +82,39 @@ def few_tasks(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(TASKS, rows // OF_TASK))
 
 
-def among(table: DataFrame, wanted: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The rows of ``table`` whose uid is one of ``wanted``.
+def marked(table: DataFrame, wanted: DataFrame, *keys: str, slots: int = SLOTS) -> DataFrame:
+    """``table`` with ``maybe``: true for all rows whose ``keys`` are those of a row of ``wanted``, and for few others.
 
-    A bitmap of the wanted uids' hashes, of at most ``slots`` / 64 rows whatever their number, is broadcast and drops most
-    other rows where they are read; the exact join has the rest to shuffle. Where there are many more wanted uids than
-    slots, it drops less and the join does more."""
-    slot = F.pmod(F.xxhash64("uid"), F.lit(slots))
+    A bitmap of the wanted keys' hashes, of at most ``slots`` / 64 rows whatever their number, is broadcast, so that no row of
+    ``table`` is shuffled. Where there are many more wanted keys than slots, most rows are marked. Null keys are like others."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots))
     place, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
-    asked = wanted.select("uid").distinct()
-    bitmap = asked.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
-    likely = table.join(F.broadcast(bitmap), place == F.col("place")).filter(F.getbit("bits", bit) == 1).select(*table.columns)
+    bitmap = wanted.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    found = table.join(F.broadcast(bitmap), place == F.col("place"), "left")
+    return found.select(*table.columns, (F.col("bits").isNotNull() & (F.getbit("bits", bit) == 1)).alias("maybe"))
+
+
+def likely(table: DataFrame, wanted: DataFrame, *keys: str, slots: int = SLOTS) -> DataFrame:
+    """The rows of ``table`` whose ``keys`` ``wanted`` has, and few others: what a join with ``wanted`` needs to shuffle."""
+    return marked(table, wanted, *keys, slots=slots).filter("maybe").drop("maybe")
+
+
+def among(table: DataFrame, wanted: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows of ``table`` whose uid is one of ``wanted``, exactly."""
+    asked = wanted.select(F.col("uid").alias("m")).distinct()
     # an inner join of distinct uids: Spark would move a semi join below the bitmap's, and shuffle the whole table for it
-    return likely.join(asked.select(F.col("uid").alias("m")), F.col("uid") == F.col("m")).select(*table.columns)
+    return likely(table, wanted, "uid", slots=slots).join(asked, F.col("uid") == F.col("m")).select(*table.columns)
+
+
+def shared(entries: DataFrame, rows: int) -> DataFrame:
+    """``entries`` (band, bucket, uid, size) of about ``rows`` uids, those in buckets of more than one, with n of the bucket. Stored.
+
+    Few buckets are shared, so a bitmap of these drops the other entries before the join that shuffles them."""
+    counts = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    many = scratch.stored(few_tasks(counts, rows))
+    out = scratch.stored(likely(entries, many, "bucket").join(many.withColumnRenamed("bucket", "b"), F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
+    scratch.release(many)
+    return out
 
 
 def common(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:

@@ -18,12 +18,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatefold.llm import graph, scratch
-from gatefold.llm.graph import among, apart, common
+from gatefold.llm.graph import apart, common, likely, marked, shared
 from gatefold.llm.words import Words, as_bytes, mix
 
 #: Similarity from which lines are one; bands, and samples of each: 0.935 of the pairs of similarity 0.9 share a band, 0.996 of those of 0.95.
@@ -252,23 +252,28 @@ def removals(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("code").alias("code"), F.col("line").alias("line"))
     distinct = scratch.stored(table.groupBy("key", "key2").agg(F.min("uid").alias("uid"), F.min(place).alias("head"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("bands", "size"), "uid").alias("own")))
     entries = distinct.select(F.posexplode("own.bands").alias("band", "bucket"), "uid", F.col("own.size").alias("size"))
-    many = entries.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
-    words = scratch.stored(among(table.select("uid", "words"), members))
+    members = shared(entries, distinct.count())
+    words = scratch.stored(likely(table.select("uid", "words"), members, "uid"))
     places = scratch.stored(table.select("doc_id", "code", "line", "key", "key2"))
     known = scratch.stored(distinct.select("key", "key2", "uid", "head", "n"))
     scratch.release(table, distinct)  # the words and bands of lines that resemble no other
     linked = classes(members, words, lambda pairs: verified(pairs, words, least), lambda group: compared(group, least), FIRST)
     scratch.release(members, words)
-    grouped = scratch.stored(known.join(linked, F.col("uid") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL").select("key", "key2", "head", F.coalesce("component", "uid").alias("component")))
+    repeated = marked(known, linked.select(F.col("node").alias("uid")), "uid").filter("n > 1 OR maybe")
+    grouped = scratch.stored(repeated.join(linked, F.col("uid") == F.col("node"), "left").filter("n > 1 OR node IS NOT NULL").select("key", "key2", "head", F.coalesce("component", "uid").alias("component")))
     heads = grouped.groupBy(F.col("component").alias("c")).agg(F.min("head").alias("stays"))
     stay = grouped.join(heads, F.col("component") == F.col("c")).select("key", "key2", "stays")
-    gone = places.join(stay, ["key", "key2"]).filter(~place.eqNullSafe(F.col("stays")))
+    gone = likely(places, grouped, "key", "key2").join(stay, ["key", "key2"]).filter(~place.eqNullSafe(F.col("stays")))
     out = scratch.stored(gone.groupBy(F.col("doc_id").alias("own_id"), F.col("code").alias("own_code")).agg(F.collect_set("line").alias("gone")))
     scratch.release(places, known, linked, grouped)
     return out
 
 
+def _lines(text: Column) -> Column:
+    """Line feeds and one more; null has none."""
+    return F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+
+
 def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """row (the document's own columns, with the text that stays), n_lines, n_removed.
 
@@ -278,8 +283,11 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     docs = docs.withColumn(text, F.col(text).cast("string"))
     code = F.xxhash64(text)
     gone = removals(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), code.alias("code")), least)
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"), code.alias("of"))
-    joined = keyed.join(gone, F.col("own").eqNullSafe(F.col("own_id")) & (F.col("of") == F.col("own_code")), "left").select("row", "gone")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(doc_id).alias("own"), code.alias("of"), _lines(F.col(text)).alias("n_lines"))
+    # only texts of which lines may go are shuffled, by the same plan at any size
+    keyed = marked(keyed, gone.select(F.col("own_id").alias("own"), F.col("own_code").alias("of")), "own", "of")
+    joined = keyed.filter("maybe").join(gone.hint("merge"), F.col("own").eqNullSafe(F.col("own_id")) & (F.col("of") == F.col("own_code")), "left").select("row", "gone")
+    whole = keyed.filter("NOT maybe").select("row", "n_lines", F.lit(0).cast("long").alias("n_removed"))
     place = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +307,7 @@ def deduped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                 row = pa.StructArray.from_arrays(fields, fields=list(part.column(0).type))
                 yield pa.RecordBatch.from_arrays([row, pa.array(count, pa.int64()), pa.array(less, pa.int64())], ["row", "n_lines", "n_removed"])
 
-    return joined.mapInArrow(cut, T.StructType([joined.schema["row"], *T._parse_datatype_string("n_lines long, n_removed long").fields]))
+    return joined.mapInArrow(cut, T.StructType([joined.schema["row"], *T._parse_datatype_string("n_lines long, n_removed long").fields])).unionByName(whole)
 
 
 def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatefold.llm import scratch
-from gatefold.llm.graph import among, apart, classes, common, forest
+from gatefold.llm.graph import apart, classes, common, forest, likely, shared
 from gatefold.llm.words import Words, mix, pieces
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -261,9 +261,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("uid").alias("uid"))
     firsts = scratch.stored(table.groupBy(F.col("digest").alias("of")).agg(F.min("uid").alias("first"), F.min_by(F.struct("bands", "size"), "uid").alias("own"), F.min(key).alias("head")))
     entries = firsts.select(F.posexplode("own.bands").alias("band", "bucket"), F.col("first").alias("uid"), F.col("own.size").alias("size"))
-    many = entries.groupBy(F.col("bucket").alias("b")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = scratch.stored(entries.join(many, F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
-    small = scratch.stored(among(table.select("uid", "hashes", "weights"), members))
+    members = shared(entries, firsts.count())
+    small = scratch.stored(likely(table.select("uid", "hashes", "weights"), members, "uid"))
     ids = scratch.stored(table.select("uid", "doc_id", "digest"))
     scratch.release(table)  # the shingles of texts that resemble no other
     linked = classes(members, small, lambda pairs: verified(pairs, small, least), lambda group: compared(group, least), FIRST)
