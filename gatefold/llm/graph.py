@@ -26,7 +26,7 @@ STARS, LARGE = 2, 1024
 CHUNK, CHUNK_SIZE, PACK = 256, 1 << 18, 64
 #: Columns of a block of the matrix product that compares a group.
 WIDTH = 4096
-#: Slots of the bitmap of ``marked``, 64 to a row; rows of a small table that one task writes, and the fewest tasks that write one.
+#: Slots of the bitmap of ``marked``, 4096 to a row; rows of a small table that one task writes, and the fewest tasks that write one.
 SLOTS, OF_TASK, TASKS = 1 << 26, 1 << 17, 12
 
 
@@ -85,13 +85,16 @@ def few_tasks(df: DataFrame, rows: int) -> DataFrame:
 def marked(table: DataFrame, wanted: DataFrame, *keys: str, slots: int = SLOTS) -> DataFrame:
     """``table`` with ``maybe``: true for all rows whose ``keys`` are those of a row of ``wanted``, and for few others.
 
-    A bitmap of the wanted keys' hashes, of at most ``slots`` / 64 rows whatever their number, is broadcast, so that no row of
+    A bitmap of the wanted keys' hashes, of at most ``slots`` bits whatever their number, is broadcast, so that no row of
     ``table`` is shuffled. Where there are many more wanted keys than slots, most rows are marked. Null keys are like others."""
     slot = F.pmod(F.xxhash64(*keys), F.lit(slots))
-    place, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
-    bitmap = wanted.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    place, word, bit = F.shiftright(slot, 12), F.pmod(F.shiftright(slot, 6), F.lit(64)).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
+    words = wanted.select(place.alias("place"), word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place", "word").agg(F.bit_or("bit").alias("bits"))
+    held = words.groupBy("place").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    # an array of 64 words is a tenth of as many rows to every executor
+    bitmap = held.select("place", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.col("held")[k], F.lit(0).cast("long"))).alias("bits"))
     found = table.join(F.broadcast(bitmap), place == F.col("place"), "left")
-    return found.select(*table.columns, (F.col("bits").isNotNull() & (F.getbit("bits", bit) == 1)).alias("maybe"))
+    return found.select(*table.columns, F.coalesce(F.getbit(F.get("bits", word), bit) == 1, F.lit(False)).alias("maybe"))
 
 
 def likely(table: DataFrame, wanted: DataFrame, *keys: str, slots: int = SLOTS) -> DataFrame:
