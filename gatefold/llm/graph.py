@@ -10,8 +10,9 @@ and no pairs are emitted.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ CHUNK, CHUNK_SIZE, PACK = 256, 1 << 18, 64
 WIDTH = 4096
 #: Slots of the bitmap of ``marked``, 4096 to a row; rows of a small table that one task writes, and the fewest tasks that write one.
 SLOTS, OF_TASK, TASKS = 1 << 26, 1 << 17, 12
+#: Hashes of a range that ``recurring`` merges at once, about; those that it sorts at once.
+PART, SORTED = 1 << 18, 1 << 21
 
 
 def classes(members: DataFrame, payload: DataFrame, verified: Callable[[DataFrame], DataFrame], joined: Callable[[pa.Table], pa.Table], first: int, chunk: int = CHUNK, chunk_size: int = CHUNK_SIZE, large: int = LARGE, pack: int = PACK) -> DataFrame:
@@ -120,6 +123,47 @@ def shared(entries: DataFrame, rows: int) -> DataFrame:
     return out
 
 
+def shared_of(rows: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """What ``shared`` finds of ``rows`` (uid, size and a bucket in each of ``columns``, none of them null), about ``n``. Stored."""
+    many = scratch.stored(few_tasks(recurring(rows.select(*columns), n * len(columns)), n), hashes=True)
+    entries = rows.select(F.posexplode(F.array(*columns)).alias("band", "bucket"), "uid", "size")
+    out = scratch.stored(likely(entries, many, "bucket").join(many.withColumnRenamed("bucket", "b"), F.col("bucket") == F.col("b")).select("band", "bucket", "uid", "size", "n"))
+    scratch.release(many)
+    return out
+
+
+def recurring(values: DataFrame, about: int) -> DataFrame:
+    """(bucket, n) of the 64-bit hashes that stand more than once in the columns of ``values``, which hold ``about`` so many.
+
+    A task sorts and counts what it reads and ships it as arrays, one for each range of hashes, in place of a row for each
+    hash; a range holds some PART hashes, each once for SORTED that a task has read, so no hash makes it large."""
+    parts = 1 << max(6, (about // PART).bit_length())
+    bounds = (np.arange(1, parts, dtype=np.uint64)) << np.uint64(64 - parts.bit_length() + 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held += [np.asarray(c).view(np.uint64) for c in batch.columns]
+            if held and (batch is None or sum(map(len, held)) >= SORTED):
+                value, n = np.unique(np.concatenate(held), return_counts=True)
+                held = []
+                at = np.concatenate(([0], np.searchsorted(value, bounds), [len(value)])).tolist()
+                n = n.astype(np.int64)
+                full = [k for k in range(parts) if at[k] < at[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[at[k] : at[k + 1]].tobytes() for k in full], pa.binary()) for x in (value, n))], ["part", "value", "n"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        value, n = (np.frombuffer(b"".join(c.to_pylist()), np.int64) for c in group.columns[1:])
+        order = np.argsort(value)
+        value, n = value[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        total = np.add.reduceat(n, first)
+        return pa.table({"bucket": pa.array(value[first[total > 1]]), "n": pa.array(total[total > 1])})
+
+    return values.mapInArrow(pack, "part int, value binary, n binary").groupBy("part").applyInArrow(merge, "bucket long, n long")
+
+
 def common(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """For each two of n texts the sum of the lesser weights of what both hold (owner, h, weight).
 
